@@ -10,7 +10,7 @@ from tabloom.operators import fidelity as fd
 from tabloom.operators import metrics as mt
 from tabloom.operators import profile as pf
 from tabloom.operators.synthesis import independent
-from tabloom.plans.sweep import Dataset
+from tabloom.session import cut_lineage
 
 
 def rounded(df, *columns):
@@ -42,7 +42,7 @@ def _profile_sql() -> str:
                 n, kind = f"CASE WHEN {low} THEN count(DISTINCT {c}) END", f"CASE WHEN {low} THEN 'categorical' ELSE 'numeric' END"
             else:
                 n, kind = "CAST(NULL AS BIGINT)", "'numeric'" if dtype == "double" else "'categorical'"
-            rows.append(f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, {n} AS n_levels, {kind} AS sdtype, '{t}' AS \"table\" FROM {t}")
+            rows.append(f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, {n} AS n_levels, {kind} AS sdtype, '{t}' AS \"table\" FROM {t} HAVING count(*) > 0")
     return " UNION ALL ".join(rows)
 
 
@@ -72,8 +72,8 @@ def impute_mode(spark, sf):
 
 def sides(spark, sf):
     """The real table and its independent synthesis, both whole."""
-    real = fidelity_real(spark, sf)
-    synth = independent(real, ["o_orderkey"]).select(*FIDELITY_COLUMNS)
+    real = cut_lineage(fidelity_real(spark, sf))
+    synth = cut_lineage(independent(real, ["o_orderkey"]).select(*FIDELITY_COLUMNS))
     return real.drop("o_orderkey"), synth
 
 

@@ -15,6 +15,7 @@ from tabloom.operators.synthesis import copula as cp
 from tabloom.operators.synthesis import gaussian_copula, independent, sequential
 from tabloom.operators.synthesis.repair import cast_back, repair_domains
 from tabloom.operators.synthesis.sequential import TreeSettings
+from tabloom.session import cut_lineage
 
 # --- sampling ---
 
@@ -86,7 +87,8 @@ def copula_synth(spark, sf):
 
 
 def copula_synth_aligned(spark, sf):
-    return gaussian_copula(aligned(spark, sf).drop("o_custkey", "o_orderstatus", "text_doc_id"), ["o_orderkey"])
+    real = cut_lineage(aligned(spark, sf).drop("o_custkey", "o_orderstatus", "text_doc_id"))
+    return gaussian_copula(real, ["o_orderkey"])
 
 
 def normal_cdf(spark, sf):
@@ -101,7 +103,7 @@ _SEQ = ["o_totalprice", "o_orderpriority", "text_sentiment", "text_text_length",
 
 
 def sequential_table(spark, sf):
-    return aligned(spark, sf).select("o_orderkey", *_SEQ)
+    return cut_lineage(aligned(spark, sf).select("o_orderkey", *_SEQ))
 
 
 def seq_rf(spark, sf):

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.hashing import never_null
+
 # Coefficients of Hart's rational approximation as published by West,
 # "Better approximations to cumulative normal functions" (2005). Highest power first.
 _HART_NUMERATOR = (
@@ -38,7 +40,7 @@ def normal_cdf(z: Column) -> Column:
         fraction = x + F.lit(k) / fraction
     far = bell / fraction / F.lit(_SQRT_TWO_PI)
     tail = F.when(x > 37.0, F.lit(0.0)).when(x < 7.07106781186547, centre).otherwise(far)
-    return F.when(z > 0.0, F.lit(1.0) - tail).otherwise(tail)
+    return never_null(F.when(z > 0.0, F.lit(1.0) - tail).otherwise(tail))
 
 
 def normal_score(rank: Column, size: int | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.hashing import uniform
+from tabloom.functions.hashing import draw_index
 from tabloom.operators.ranking import dense_index
 from tabloom.session import BROADCAST_ROWS
 
@@ -43,10 +43,10 @@ def weak_alignment(
         raise ValueError(f"No text row is allowed for target values: {empty}")
     if not sizes:
         raise ValueError("No text row is allowed for any target.")
-    size_of = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    size_of = F.coalesce(F.element_at(table, F.col(target_col)), F.lit(0))
     drawn = tabular.filter(F.col(target_col).isin(list(sizes))).withColumn(
-        "pool_idx",
-        F.floor(uniform(seed, "align", F.col(tabular_key)) * F.element_at(size_of, F.col(target_col))).cast("bigint"),
+        "pool_idx", draw_index(seed, "align", size_of, F.col(tabular_key))
     )
     named = pools.select(
         F.col("target").alias("_target"), F.col("pool_idx").alias("_pool_idx"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.session import broadcast_if_small, cut_lineage
+from tabloom.session import cut_lineage, inline_if_small
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number within a partition in its low 33 bits
 
@@ -35,7 +35,7 @@ def _within(df: DataFrame, within: Sequence[str], name: str) -> DataFrame:
     """Restart the position at each group: subtract the smallest position of the group."""
     if not within:
         return df
-    starts = broadcast_if_small(df.groupBy(*within).agg(F.min(name).alias("_start")))
+    starts = inline_if_small(df.groupBy(*within).agg(F.min(name).alias("_start")))
     return df.join(starts, list(within)).withColumn(name, F.col(name) - F.col("_start")).drop("_start")
 
 

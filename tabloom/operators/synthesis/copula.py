@@ -11,7 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.hashing import standard_normal
+from tabloom.functions.hashing import never_null, standard_normal
 from tabloom.functions.numeric import normal_cdf, normal_score
 from tabloom.operators.cleaning import require_rows
 from tabloom.operators.ranking import dense_index
@@ -66,8 +66,9 @@ def correlation_matrix(scores: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Pearson correlation of numeric columns; undefined entries are 0 and the diagonal is 1."""
     if len(columns) == 1:
         return np.ones((1, 1))
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(scores).select("v")
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(scores).select("v").persist()
     matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    vectors.unpersist()
     matrix = np.nan_to_num(matrix, nan=0.0, posinf=0.0, neginf=0.0)
     np.fill_diagonal(matrix, 1.0)
     return matrix
@@ -120,7 +121,7 @@ def gaussian_copula(
     normals = correlated_normals(rows, fit.correlation, seed)
     below_one = F.lit(1.0 - 2.0**-52)
     draws = normals.select("row_id", *[
-        F.floor(F.least(normal_cdf(F.col(f"y_{i}")), below_one) * F.lit(float(fit.size))).cast("bigint").alias(f"_at_{c}")
+        never_null(F.floor(F.least(normal_cdf(F.col(f"y_{i}")), below_one) * F.lit(float(fit.size))).cast("bigint"), 0).alias(f"_at_{c}")
         for i, c in enumerate(fit.columns)
     ])
     few = few_valued(source)

@@ -50,3 +50,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Broadcast ``df`` when it has at most ``max_rows`` rows; otherwise leave the join to Catalyst."""
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
+
+
+def inline_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Evaluate ``df`` once into a broadcast local table if it has at most ``max_rows`` rows; otherwise leave it lazy."""
+    rows = df.limit(max_rows + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows)) if rows.num_rows <= max_rows else df
