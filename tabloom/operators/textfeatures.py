@@ -84,16 +84,17 @@ def tfidf_weights(vectors: DataFrame, terms: Sequence[str], key: str) -> DataFra
 
 
 def right_singular_vectors(vectors: DataFrame, k: int) -> np.ndarray:
-    """Top ``k`` right singular vectors, from the Gram matrix Spark sums over all rows; V is vocabulary-sized.
+    """Top ``k`` right singular vectors, from the Gram matrix Spark sums over all rows.
 
-    The largest loading of each component is made positive. Components beyond the rank are zero.
+    Only the vocabulary-sized square matrix reaches the driver. The largest loading of each component is
+    made positive; components beyond the rank are zero.
     """
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("tfidf"), "tfidf"))
-    found = matrix.computeSVD(k, computeU=False)
-    loadings = found.V.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
-    loadings = loadings * signs
-    return np.pad(loadings, ((0, 0), (0, k - loadings.shape[1])))
+    energy, loadings = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+    top = np.argsort(energy)[::-1][:k]
+    loadings = np.where(energy[top] > 1e-12 * max(energy.max(), 1.0), loadings[:, top], 0.0)
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
+    return loadings * np.where(signs == 0.0, 1.0, signs)
 
 
 def project(vectors: DataFrame, loadings: np.ndarray, key: str, prefix: str = "text_svd_") -> DataFrame:
