@@ -10,6 +10,7 @@ from catalog.inputs import (
 )
 from tabloom.functions import text as tx
 from tabloom.operators import cleaning as cl
+from tabloom.session import spread
 from tabloom.sources.tables import STRICT_RULES, rules_frame
 
 _MESSY = ("' ' || {c} || chr(9)", "concat(' ', {c}, chr(9))")
@@ -68,7 +69,7 @@ def text_stats(spark, sf):
 
 
 def hint_counts(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", tx.hint_count(F.col("text"), POSITIVE).alias("positive_hint_count"),
         tx.hint_count(F.col("text"), NEGATIVE).alias("negative_hint_count"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators.alignment import weak_alignment
 from tabloom.operators.cleaning import TextSpec, label_ids, text_statistics
+from tabloom.session import spread
 from tabloom.sources.tables import DEFAULT_RULES, STRICT_RULES, rules_frame
 
 # Small word lists for the invented prose of the test documents.
@@ -48,7 +49,8 @@ _LABEL = (
 
 def raw_text(spark: SparkSession, sf: str) -> DataFrame:
     """Every document; those without a label have a NULL one. Spaces are doubled to give cleaning some work."""
-    joined = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id", "left")
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    joined = documents.join(table(spark, sf, "labels"), "doc_id", "left")
     return joined.select(
         "doc_id", F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\t")).alias("text"),
         F.expr(_LABEL).alias("sentiment"),
@@ -75,7 +77,8 @@ _SIMPLE_LABEL = "CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'posi
 
 
 def labelled_text(spark: SparkSession, sf: str) -> DataFrame:
-    joined = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels"), "doc_id")
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    joined = documents.join(table(spark, sf, "labels"), "doc_id")
     return joined.select("doc_id", "text", F.expr(_SIMPLE_LABEL).alias("sentiment"))
 
 

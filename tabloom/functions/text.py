@@ -1,4 +1,4 @@
-"""Text expressions: whitespace, statistics, lexicon hits and index terms."""
+"""Text expressions: whitespace, statistics and lexicon hits."""
 
 from __future__ import annotations
 
@@ -62,19 +62,3 @@ def hint_count(text: Column, lexicon: Iterable[str]) -> Column:
     tokens = F.split(collapse_whitespace(F.coalesce(text, F.lit(""))), " ")
     hits = F.filter(tokens, lambda w: F.lower(F.btrim(w, F.lit(WORD_EDGE))).isin(words))
     return F.size(hits).cast("bigint")
-
-
-def index_terms(text: Column, stop_words: Iterable[str] = ()) -> Column:
-    """Lower-case words of two or more letters, digits or underscores, minus stop words, plus their bigrams."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    stop = sorted(set(stop_words))
-    if stop:
-        words = F.filter(words, lambda w: ~w.isin(stop))
-    return words
-
-
-def with_bigrams(words: Column) -> Column:
-    """The words followed by each pair of neighbours joined by a space."""
-    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    before = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(words, F.zip_with(before, after, lambda a, b: F.concat_ws(" ", a, b)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import text as tx
+from tabloom.session import spread
 
 
 @dataclass(frozen=True)
@@ -150,7 +151,7 @@ def first_per_group(df: DataFrame, columns: Sequence[str], key: str) -> DataFram
 def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Length, words, digit share and capital share of a text column. Works on streams."""
     t = F.col(text_col)
-    return df.withColumns({
+    return spread(df).withColumns({
         "text_length": tx.text_length(t),
         "word_count": tx.word_count(t),
         "digit_ratio": tx.digit_ratio(t),
@@ -160,7 +161,7 @@ def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def clean_text(df: DataFrame, spec: TextSpec, key: str) -> DataFrame:
     """Normalise, filter, keep first occurrences, add statistics."""
-    out = normalize_text_rows(standardize_columns(df), spec)
+    out = normalize_text_rows(standardize_columns(spread(df)), spec)
     if spec.dedupe_cols:
         out = first_per_group(out, spec.dedupe_cols, key)
     return text_statistics(out, spec.text_col)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import (
+    CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, StopWordsRemover,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -15,17 +17,29 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.text import hint_count, index_terms, with_bigrams
+from tabloom.functions.text import hint_count
 from tabloom.operators.cleaning import TextSpec, label_ids, label_order_ids, require_columns
+from tabloom.session import spread
 
+# Fixed value: what counts as a word.
+WORD = r"[\p{L}\p{N}_]{2,}"
 STATISTICS = ("text_length", "word_count", "digit_ratio", "uppercase_ratio")
 
 
 def document_terms(df: DataFrame, text_col: str, stop_words: Sequence[str] | None, bigrams: bool = True) -> DataFrame:
-    """Add the array column ``terms``."""
-    stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
-    out = df.withColumn("terms", index_terms(F.col(text_col), stop))
-    return out.withColumn("terms", with_bigrams(F.col("terms"))) if bigrams else out
+    """Add the array column ``terms``: lower-case words of two or more letters, digits or underscores that are
+    not stop words and, with ``bigrams``, each pair of neighbours among them joined by a space."""
+    stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", gaps=False, pattern=WORD, toLowercase=True)
+    keep = StopWordsRemover(inputCol="_words", outputCol="_kept", stopWords=stop, caseSensitive=True)
+    text = spread(df).withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    out = keep.transform(words.transform(text))
+    if bigrams:
+        out = NGram(n=2, inputCol="_kept", outputCol="_pairs").transform(out)
+        terms = F.concat("_kept", "_pairs")
+    else:
+        terms = F.col("_kept")
+    return out.withColumn("terms", terms).drop("_text", "_words", "_kept", "_pairs")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -131,7 +145,7 @@ def text_features(
     vectors, terms = tfidf(df, key, spec.text_col, max_features, min_df, stop_words, bigrams)
     svd = svd_features(vectors, len(terms), key, components)
     text = F.col(spec.text_col)
-    hinted = df.withColumns({
+    hinted = spread(df).withColumns({
         "positive_hint_count": hint_count(text, [w.lower() for w in spec.positive_hints]),
         "negative_hint_count": hint_count(text, [w.lower() for w in spec.negative_hints]),
     }).drop(spec.text_col)

@@ -46,6 +46,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Input per core above which a table has enough partitions of its own.
+_SPREAD_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input: repartition when Catalyst expects less than 128 MB per core.
+
+    For steps that cost much per row (text, iterative fits), where a table of few row groups would otherwise
+    leave most of the cluster idle. Larger inputs, and those of unknown size, are left as they are. Only the
+    plan's size estimate is read, so nothing runs.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if expected < cores * _SPREAD_BYTES else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when it has at most ``max_rows`` rows; otherwise leave the join to Catalyst."""
     small = df.limit(max_rows + 1).count() <= max_rows
