@@ -64,6 +64,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if expected < cores * _SPREAD_BYTES else df
 
 
+def spread_cached(df: DataFrame) -> DataFrame:
+    """As ``spread``, for a persisted or checkpointed table, whose partitions are counted instead of estimated."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` when it has at most ``max_rows`` rows; otherwise leave the join to Catalyst."""
     small = df.limit(max_rows + 1).count() <= max_rows
