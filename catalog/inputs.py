@@ -164,14 +164,20 @@ def fidelity_sides_sql() -> str:
 
 # --- result rows of a sweep, taken from line items -----------------------------------------------
 
+def _mean(column: str, scale: int = 100, divisor: int = 1) -> str:
+    """Mean of a column of at most two decimals from whole numbers, so that no summation order changes it."""
+    total = f"CAST(sum(CAST(round({column} * {scale}) AS BIGINT)) AS DOUBLE)"
+    return f"({total} / CAST({scale * divisor} * count(*) AS DOUBLE))"
+
+
 _RESULT_MEASURES = {
-    "trtr_accuracy": "avg(l_discount)", "trtr_f1": "avg(l_tax)", "trtr_auroc": "avg(l_quantity) / 50.0",
-    "tstr_accuracy": "max(l_discount) - avg(l_tax)", "tstr_f1": "avg(l_quantity) / 100.0",
-    "tstr_auroc": "avg(l_extendedprice) / 100000.0", "gap_accuracy": "avg(l_discount) - avg(l_tax)",
-    "gap_f1": "avg(l_tax) - 0.04", "gap_auroc": "avg(l_discount) - 0.05",
-    "mean_numeric_abs_mean_diff": "avg(l_extendedprice) / 1000.0", "mean_numeric_abs_std_diff": "avg(l_quantity)",
-    "mean_categorical_tvd": "avg(l_tax) / 2.0", "mean_cross_modal_abs_diff": "avg(l_discount) / 2.0",
-    "target1_cross_modal_abs_diff": "avg(l_discount) / 3.0",
+    "trtr_accuracy": _mean("l_discount"), "trtr_f1": _mean("l_tax"), "trtr_auroc": _mean("l_quantity", 1, 50),
+    "tstr_accuracy": f"max(l_discount) - {_mean('l_tax')}", "tstr_f1": _mean("l_quantity", 1, 100),
+    "tstr_auroc": _mean("l_extendedprice", 100, 100000), "gap_accuracy": f"{_mean('l_discount')} - {_mean('l_tax')}",
+    "gap_f1": f"{_mean('l_tax')} - CAST(0.04 AS DOUBLE)", "gap_auroc": f"{_mean('l_discount')} - CAST(0.05 AS DOUBLE)",
+    "mean_numeric_abs_mean_diff": _mean("l_extendedprice", 100, 1000), "mean_numeric_abs_std_diff": _mean("l_quantity", 1),
+    "mean_categorical_tvd": _mean("l_tax", 100, 2), "mean_cross_modal_abs_diff": _mean("l_discount", 100, 2),
+    "target1_cross_modal_abs_diff": _mean("l_discount", 100, 3),
 }
 _RESULT_DATASET = (
     "CASE l_returnflag WHEN 'A' THEN 'weak_multimodal' WHEN 'N' THEN 'weak_multimodal_strict' ELSE 'other_table' END"
