@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import exact, sharding
+from tabloom.llm import exact, lines, parsing, pseudonyms, quality, sharding
 from tabloom.llm.storage import shared_folder
 
 
@@ -14,6 +14,15 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def op1_nb_svm(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return quality.scored(docs, quality.fit_quality(docs, labels(spark, sf)))
+
+
 def op2_slot_shards(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
     return sharding.shard_documents(documents(spark, sf), 24, folder)
@@ -29,7 +38,48 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+
+def op5_consistent_parsing(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.fingerprinted(documents(spark, sf))
+
+
+def op9_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.without_repeated_chunks(documents(spark, sf))
+
+
+OP9_SQL = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+single AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i, len(lines) AS n FROM split),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM single),
+rolled AS (
+  SELECT *, i = n OR (coalesce(lag(h) OVER doc, 0) % 65521 * 251 + h % 65521) % 65521 % 4 = 0 AS is_end
+  FROM hashed WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, coalesce(sum(CAST(is_end AS INTEGER)) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM rolled
+), chunks AS (
+  SELECT doc_id, chunk, min(i) AS first, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS body
+  FROM numbered GROUP BY doc_id, chunk
+), marked AS (
+  SELECT *, size >= 2 AND row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1 AS gone FROM chunks
+)
+SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_lines, count(*) AS n_chunks,
+  count(*) FILTER (WHERE gone) AS n_removed_chunks,
+  CAST(coalesce(sum(size) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed_lines,
+  coalesce(string_agg(body, chr(10) ORDER BY first) FILTER (WHERE NOT gone), '') AS text
+FROM marked GROUP BY doc_id
+"""
+
+
+def op10_feistel_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudonyms.pseudonymised(documents(spark, sf), key="pseudonym key of this corpus")
+
+
 QUERIES = {
+    "op1_nb_svm": (op1_nb_svm, None),
     "op2_slot_shards": (op2_slot_shards, None),
     "op4_trie_dedup": (op4_trie_dedup, OP4_SQL),
+    "op5_consistent_parsing": (op5_consistent_parsing, None),
+    "op9_line_chunks": (op9_line_chunks, OP9_SQL),
+    "op10_feistel_pii": (op10_feistel_pii, None),
 }
