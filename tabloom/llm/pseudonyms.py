@@ -30,6 +30,11 @@ KINDS = _ORDER
 _DAYS, _DAY_LEFT, _DAY_RIGHT = 146_097, 189, 773
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _digest(key: str, kind: str, number: Column, other: Column) -> Column:
     """The keyed round function, as hexadecimal digits."""
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), number.cast("string"), other), 256)
@@ -115,9 +120,10 @@ def _digits(s: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     """Null unless the Luhn sum holds; the new check digit makes it hold again."""
-    body = permuted(F.substring(m, F.lit(1), F.length(m) - 1), key, "card")
-    check = (F.lit(10) - _luhn(_digits(body), 1) % 10) % 10
-    return F.when(_luhn(_digits(m), 0) % 10 == 0, F.concat(body, check.cast("string")))
+    new = _let(permuted(F.substring(m, F.lit(1), F.length(m) - 1), key, "card"), lambda body: F.concat(
+        body, ((F.lit(10) - _luhn(_digits(body), 1) % 10) % 10).cast("string")
+    ))
+    return F.when(_luhn(_digits(m), 0) % 10 == 0, new)
 
 
 def _rest97(s: Column) -> Column:
@@ -128,56 +134,87 @@ def _rest97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
     country, tail = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    valid = _rest97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
-    new = permuted(tail, key, "iban")
-    check = F.lit(98) - _rest97(F.concat(F.replace(new, F.lit(" "), F.lit("")), country, F.lit("00")))
-    return F.when(valid & (F.length(plain) >= 15), F.concat(country, F.lpad(check.cast("string"), 2, "0"), new))
+
+    def plain(x: Column) -> Column:
+        return F.replace(x, F.lit(" "), F.lit(""))
+
+    valid = _rest97(plain(F.concat(tail, F.substring(m, 1, 4)))) == 1
+    new = _let(permuted(tail, key, "iban"), lambda body: F.concat(
+        country, F.lpad((F.lit(98) - _rest97(F.concat(plain(body), country, F.lit("00")))).cast("string"), 2, "0"), body
+    ))
+    return F.when(valid & (F.length(plain(m)) >= 15), new)
 
 
 def _ip(m: Column, key: str) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    value = F.aggregate(octets, F.lit(0).cast("long"), lambda total, x: total * 256 + x)
-    new = permuted_number(value, 65_536, 65_536, key, "ip")
-    back = F.array_join(F.transform(
-        F.array(F.lit(16_777_216), F.lit(65_536), F.lit(256), F.lit(1)),
-        lambda unit: (F.floor(new / unit).cast("long") % 256).cast("string"),
-    ), ".")
-    return F.when(F.forall(octets, lambda x: x <= 255), back)
+    def back(value: Column) -> Column:
+        return F.array_join(F.transform(
+            F.array(F.lit(16_777_216), F.lit(65_536), F.lit(256), F.lit(1)),
+            lambda unit: (F.floor(value / unit).cast("long") % 256).cast("string"),
+        ), ".")
+
+    def new(octets: Column) -> Column:
+        value = F.aggregate(octets, F.lit(0).cast("long"), lambda total, x: total * 256 + x)
+        return F.when(F.forall(octets, lambda x: x <= 255), _let(
+            _let(value, lambda v: permuted_number(v, 65_536, 65_536, key, "ip")), back
+        ))
+
+    return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("long")), new)
+
+
+def _is_day(year: Column, month: Column, day: Column) -> Column:
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    longest = F.when(month == 2, F.when(leap, F.lit(29)).otherwise(F.lit(28))).when(
+        month.isin(4, 6, 9, 11), F.lit(30)
+    ).otherwise(F.lit(31))
+    return year.between(1800, 2199) & month.between(1, 12) & day.between(F.lit(1), longest)
 
 
 def _date(m: Column, key: str) -> Column:
     """Null unless a day from 1800 to 2199. ``mm/dd/yyyy`` has the month first, ``dd.mm.yyyy`` and ``dd-mm-yyyy`` the
     day; if that is no day, the other order is tried."""
-    year_first = m.rlike(r"^\d{4}")
-    sign = F.when(year_first, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
 
     def number(at: int, n: int) -> Column:
         return F.substring(m, at, n).cast("int")
 
-    year = F.when(year_first, number(1, 4)).otherwise(number(7, 4))
-    first = F.when(year_first, number(6, 2)).otherwise(number(1, 2))
-    second = F.when(year_first, number(9, 2)).otherwise(number(4, 2))
+    year_first = m.rlike(r"^\d{4}")
+    parts = F.when(year_first, F.struct(
+        number(1, 4).alias("y"), number(6, 2).alias("a"), number(9, 2).alias("b"), F.substring(m, 5, 1).alias("sign"),
+        F.lit(True).alias("ymd"),
+    )).otherwise(F.struct(
+        number(7, 4).alias("y"), number(1, 2).alias("a"), number(4, 2).alias("b"), F.substring(m, 3, 1).alias("sign"),
+        F.lit(False).alias("ymd"),
+    ))
+    origin = F.lit("1800-01-01").cast("date")
 
-    def is_day(month: Column, day: Column) -> Column:
-        ok = year.between(1800, 2199) & month.between(1, 12) & (day >= 1)
-        safe = F.make_date(F.when(ok, year).otherwise(2000), F.when(ok, month).otherwise(1), F.lit(1))
-        return ok & (day <= F.dayofmonth(F.last_day(safe)))
+    def ordered(p: Column) -> Column:
+        """Whether the month stands first; null where neither order is a day."""
+        month_first, day_first = _is_day(p["y"], p["a"], p["b"]), ~p["ymd"] & _is_day(p["y"], p["b"], p["a"])
+        usual = p["ymd"] | (p["sign"] == "/")
+        return F.struct(p.alias("p"), F.when(usual & month_first, True).when(~usual & day_first, False).when(
+            month_first, True
+        ).when(day_first, False).alias("first"))
 
-    prefers_month = year_first | (sign == "/")
-    month_first = (prefers_month & is_day(first, second)) | (~prefers_month & ~is_day(second, first))
-    month, day = F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first)
-    ok = is_day(month, day) & (~year_first | is_day(first, second))
-    safe = F.make_date(F.when(ok, year).otherwise(2000), F.when(ok, month).otherwise(1), F.when(ok, day).otherwise(1))
-    origin = F.lit("1800-01-01").cast("date")
-    new = F.date_add(origin, permuted_number(
-        F.datediff(safe, origin).cast("long"), _DAY_LEFT, _DAY_RIGHT, key, "date"
-    ).cast("int"))
-    y, mm, dd = (F.date_format(new, p) for p in ("yyyy", "MM", "dd"))
-    return F.when(ok, F.when(year_first, F.concat(y, sign, mm, sign, dd)).when(
-        month_first, F.concat(mm, sign, dd, sign, y)
-    ).otherwise(F.concat(dd, sign, mm, sign, y)))
+    def moved(o: Column) -> Column:
+        month = F.when(o["first"], o["p"]["a"]).otherwise(o["p"]["b"])
+        day = F.when(o["first"], o["p"]["b"]).otherwise(o["p"]["a"])
+        number = F.datediff(F.make_date(o["p"]["y"], month, day), origin).cast("long")
+        return F.when(o["first"].isNotNull(), F.date_add(origin, _let(
+            number, lambda v: permuted_number(v, _DAY_LEFT, _DAY_RIGHT, key, "date")
+        ).cast("int")))
+
+    def written(o: Column) -> Column:
+        sign = o["p"]["sign"]
+
+        def as_text(day: Column) -> Column:
+            y, mm, dd = (F.date_format(day, p) for p in ("yyyy", "MM", "dd"))
+            return F.when(o["p"]["ymd"], F.concat(y, sign, mm, sign, dd)).when(
+                o["first"], F.concat(mm, sign, dd, sign, y)
+            ).otherwise(F.concat(dd, sign, mm, sign, y))
+
+        return _let(moved(o), as_text)
+
+    return _let(_let(parts, ordered), written)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -202,14 +239,15 @@ def _email(m: Column, key: str) -> Column:
 _NEW = {"email": _email, "date": _date, "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone, "iban": _iban}
 
 
+def _named(kind: str, new: Column) -> Column:
+    return _let(new, lambda value: F.struct(F.when(value.isNotNull(), F.lit(kind)).alias("kind"), value.alias("new")))
+
+
 def _replacement(m: Column, key: str) -> Column:
     """(kind, new) of a match; kind is null where no validation holds, and the match then stays."""
     pick = F.lit(None).cast("struct<kind:string,new:string>")
     for kind in reversed(_ORDER):
-        new = _NEW[kind](m, key)
-        pick = F.when(
-            m.rlike(f"^(?:{PATTERNS[kind]})$"), F.struct(F.when(new.isNotNull(), F.lit(kind)).alias("kind"), new.alias("new"))
-        ).otherwise(pick)
+        pick = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _named(kind, _NEW[kind](m, key))).otherwise(pick)
     return pick
 
 
