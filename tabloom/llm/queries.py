@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabloom.llm import exact, lines, parsing, pseudonyms, quality, sharding
-from tabloom.llm.storage import shared_folder
+from tabloom.llm import exact, lines, mixing, packing, parsing, pseudonyms, quality, sharding
+from tabloom.llm.storage import shared_folder, ship_package
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
@@ -43,6 +45,33 @@ def op5_consistent_parsing(spark: SparkSession, sf: str) -> DataFrame:
     return parsing.fingerprinted(documents(spark, sf))
 
 
+#: Target mixture: weights of domains and, below each, of languages; sources share by their own sizes.
+MIXTURE = mixing.Tree(("domain", "lang", "source"), {
+    **{(d,): w for d, w in {"d0": 0.3, "d1": 0.3, "d2": 0.2, "d3": 0.2}.items()},
+    **{(d, lang): w for d in ("d0", "d1", "d2", "d3") for lang, w in {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}.items()},
+})
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The documents with a domain, which is a group of sources."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    return docs.withColumn("domain", F.concat(F.lit("d"), F.pmod(F.crc32(number.cast("binary")), F.lit(4)).cast("string")))
+
+
+def op7_budget_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed_documents(with_domain(documents(spark, sf)), MIXTURE, budget=1.0, max_epochs=4)
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_deficit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(documents(spark, sf), tokenizer_path())
+
+
 def op9_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return lines.without_repeated_chunks(documents(spark, sf))
 
@@ -80,6 +109,8 @@ QUERIES = {
     "op2_slot_shards": (op2_slot_shards, None),
     "op4_trie_dedup": (op4_trie_dedup, OP4_SQL),
     "op5_consistent_parsing": (op5_consistent_parsing, None),
+    "op7_budget_tree": (op7_budget_tree, None),
+    "op8_deficit_packing": (op8_deficit_packing, None),
     "op9_line_chunks": (op9_line_chunks, OP9_SQL),
     "op10_feistel_pii": (op10_feistel_pii, None),
 }
