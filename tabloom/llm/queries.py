@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import exact, lines, mixing, packing, parsing, pseudonyms, quality, sharding
+from tabloom.llm import exact, lines, mixing, near, packing, parsing, pseudonyms, quality, sharding
 from tabloom.llm.storage import shared_folder, ship_package
 
 
@@ -45,6 +45,10 @@ def op5_consistent_parsing(spark: SparkSession, sf: str) -> DataFrame:
     return parsing.fingerprinted(documents(spark, sf))
 
 
+def op6_tensored_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_groups(documents(spark, sf), near.NearSpec(k=3, num=85, den=100))
+
+
 #: Target mixture: weights of domains and, below each, of languages; sources share by their own sizes.
 MIXTURE = mixing.Tree(("domain", "lang", "source"), {
     **{(d,): w for d, w in {"d0": 0.3, "d1": 0.3, "d2": 0.2, "d3": 0.2}.items()},
@@ -109,6 +113,7 @@ QUERIES = {
     "op2_slot_shards": (op2_slot_shards, None),
     "op4_trie_dedup": (op4_trie_dedup, OP4_SQL),
     "op5_consistent_parsing": (op5_consistent_parsing, None),
+    "op6_tensored_minhash": (op6_tensored_minhash, None),
     "op7_budget_tree": (op7_budget_tree, None),
     "op8_deficit_packing": (op8_deficit_packing, None),
     "op9_line_chunks": (op9_line_chunks, OP9_SQL),
