@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import exact, lines, mixing, near, packing, parsing, pseudonyms, quality, sharding
+from tabloom.llm import exact, lines, mixing, near, packing, parsing, pseudonyms, quality, sharding, suffixes
 from tabloom.llm.storage import shared_folder, ship_package
 
 
@@ -30,6 +30,12 @@ def op2_slot_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf), 24, folder)
 
 
+def op3_two_stage_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op4_trie_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf), keep="largest")
 
@@ -111,6 +117,7 @@ def op10_feistel_pii(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_nb_svm": (op1_nb_svm, None),
     "op2_slot_shards": (op2_slot_shards, None),
+    "op3_two_stage_suffixes": (op3_two_stage_suffixes, None),
     "op4_trie_dedup": (op4_trie_dedup, OP4_SQL),
     "op5_consistent_parsing": (op5_consistent_parsing, None),
     "op6_tensored_minhash": (op6_tensored_minhash, None),
