@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,3 +229,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         F.col("doc_id").alias(id_col), held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", cut: float = 0.7) -> DataFrame:
+    """The rows, with all their columns, whose score is at least ``cut``, in one pass without a shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            body = pc.fill_null(batch.column(at).cast(pa.string()), "").cast(pa.binary())
+            yield batch.filter(pa.array([own.score(seen) >= cut for seen in indicators(body)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

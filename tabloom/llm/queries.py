@@ -114,7 +114,14 @@ def op10_feistel_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pseudonyms.pseudonymised(documents(spark, sf), key="pseudonym key of this corpus")
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
+    "pipeline": (pipeline, None),
     "op1_nb_svm": (op1_nb_svm, None),
     "op2_slot_shards": (op2_slot_shards, None),
     "op3_two_stage_suffixes": (op3_two_stage_suffixes, None),
