@@ -145,11 +145,11 @@ def fidelity_real(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def independent_sql(source: str, columns, few, key: str, seed: int = 42, out: str = "synth") -> str:
-    """CTEs drawing each column on its own: few-valued ones from their sorted values, the rest in key order."""
+    """CTEs drawing each column on its own: a draw is a position in the order of the column and then the key."""
     parts = [f"{out}_size AS (SELECT count(*) AS n FROM {source})", f"{out}_rows AS (SELECT unnest(range(n)) AS row_id, n FROM {out}_size)"]
     joins, picks = [], ["r.row_id"]
     for i, c in enumerate(columns):
-        order = c if c in few else key
+        order = c if c in few else f"{c}, {key}"
         parts.append(f"{out}_c{i} AS (SELECT {c}, row_number() OVER (ORDER BY {order}) - 1 AS idx FROM {source})")
         joins.append(f"JOIN {out}_c{i} c{i} ON c{i}.idx = {draw_sql(seed, f'independent:{c}', 'r.n', 'r.row_id')}")
         picks.append(f"c{i}.{c}")

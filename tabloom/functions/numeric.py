@@ -54,8 +54,12 @@ def normal_score(rank: Column, size: int | Column) -> Column:
 
 
 def half_even(value: Column, data_type: T.DataType) -> Column:
-    """Round half to even, then cast to an integer type."""
-    return F.bround(value).cast(data_type)
+    """Round half to even, then cast to an integer type; what lies outside its range goes to the nearest end."""
+    bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}[data_type.simpleString()]
+    low = -(2.0 ** (bits - 1))
+    high = 2.0 ** (bits - 1) - (1.0 if bits < 64 else 1024.0)  # the largest double below 2^63
+    rounded = F.bround(value.cast("double"))
+    return F.when(rounded <= low, F.lit(low)).when(rounded >= high, F.lit(high)).otherwise(rounded).cast(data_type)
 
 
 def as_number(value: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.hashing import draw_index
+from tabloom.operators.cleaning import require_columns
 from tabloom.operators.ranking import dense_index
 from tabloom.session import BROADCAST_ROWS
 
@@ -13,9 +14,10 @@ from tabloom.session import BROADCAST_ROWS
 def check_rules(tabular: DataFrame, rules: DataFrame, target_col: str = "target") -> None:
     """Raise if a target of the table has no rule; by default such rows are dropped."""
     missing = tabular.select(F.col(target_col).alias("target")).distinct().join(rules, "target", "left_anti")
-    found = sorted(str(r[0]) for r in missing.limit(20).collect())
-    if found:
-        raise ValueError(f"No rule for target values: {found}")
+    total = missing.count()
+    if total:
+        found = [r[0] for r in missing.orderBy("target").limit(20).collect()]
+        raise ValueError(f"No rule for {total} target values, first: {found}")
 
 
 def text_pools(text: DataFrame, rules: DataFrame, key: str, label_col: str = "sentiment") -> DataFrame:
@@ -31,15 +33,23 @@ def weak_alignment(
 ) -> DataFrame:
     """Each tabular row draws one allowed text row with replacement; text columns get ``prefix``.
 
-    Rows whose target has no rule are dropped; a target with a rule but no allowed text is an error.
+    Rows whose target has no rule are dropped. A ruled target without tabular rows is an error, as is one that
+    has rows but no allowed text.
     Targets with a small pool meet it by broadcast, so that few text rows drawn by very many tabular rows
     make no hot join key; targets with a large pool are joined on (target, pool_idx).
     """
+    require_columns(tabular, [target_col, tabular_key])
+    require_columns(text, [label_col, text_key])
+    present = {r[0] for r in tabular.join(F.broadcast(rules.select(F.col("target").alias(target_col)).distinct()), target_col)
+               .select(target_col).distinct().collect()}
     pools = text_pools(text, rules, text_key, label_col)
     sizes = {r["target"]: r["count"] for r in pools.groupBy("target").count().collect()}
     ruled = [r[0] for r in rules.select("target").distinct().collect()]
+    absent = sorted(t for t in ruled if t not in present)
+    if absent:
+        raise ValueError(f"Rules without rows in the table, for target values: {absent}")
     empty = sorted(t for t in ruled if t not in sizes)
-    if empty and not tabular.filter(F.col(target_col).isin(empty)).isEmpty():
+    if empty:
         raise ValueError(f"No text row is allowed for target values: {empty}")
     if not sizes:
         raise ValueError("No text row is allowed for any target.")

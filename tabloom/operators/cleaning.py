@@ -49,14 +49,15 @@ def require_rows(df: DataFrame, what: str = "Input") -> None:
 
 def require_same_columns(left: DataFrame, right: DataFrame) -> None:
     if left.columns != right.columns:
-        raise ValueError("Real and synthetic tables must have identical columns in the same order.")
+        raise ValueError(f"Columns differ: {left.columns} on the real side, {right.columns} on the synthetic one.")
 
 
 def reject_values(df: DataFrame, column: str, bad: Column, message: str, shown: int = 20) -> None:
-    """Raise with the first ``shown`` distinct offending values, in order, if any row is bad."""
-    values = [r[0] for r in df.filter(bad).select(column).distinct().orderBy(column).limit(shown).collect()]
+    """Raise if any row is bad, with the number of distinct offending values and the first ``shown`` in order."""
+    values = [r[0] for r in df.filter(bad).select(column).distinct().orderBy(column).limit(shown + 1).collect()]
     if values:
-        raise ValueError(f"{message}: {values}")
+        total = len(values) if len(values) <= shown else df.filter(bad).select(column).distinct().count()
+        raise ValueError(f"{message} ({total} distinct): {values[:shown]}{' ...' if total > shown else ''}")
 
 
 def standardize_columns(df: DataFrame) -> DataFrame:
@@ -91,18 +92,18 @@ def target_from_map(df: DataFrame, column: str, mapping: Mapping[str, int], name
 
 
 def target_from_domain(df: DataFrame, column: str, name: str = "target") -> DataFrame:
-    """Binary target from a column holding only {0, 1} (kept) or {1, 2} (2 is positive)."""
+    """Binary target from a column holding exactly {0, 1} (kept) or {1, 2} (2 is positive), both values present."""
     number = F.col(column).try_cast("double")
     seen = df.agg(
         F.bool_and(F.coalesce(number.isin(0.0, 1.0), F.lit(False))).alias("zero_one"),
         F.bool_and(F.coalesce(number.isin(1.0, 2.0), F.lit(False))).alias("one_two"),
-        F.bool_or(number == 2.0).alias("has_two"),
+        *[F.bool_or(number == v).alias(f"has_{i}") for i, v in enumerate((0.0, 1.0, 2.0))],
     ).first()
-    if seen["zero_one"]:
+    if seen["zero_one"] and seen["has_0"] and seen["has_1"]:
         return df.withColumn(name, number.cast("int"))
-    if seen["one_two"] and seen["has_two"]:
+    if seen["one_two"] and seen["has_1"] and seen["has_2"]:
         return df.withColumn(name, (number == 2.0).cast("int"))
-    raise ValueError(f"Target column '{column}' is neither {{0, 1}} nor {{1, 2}}; give a target_map.")
+    raise ValueError(f"'{column}' does not hold both values of {{0, 1}} or of {{1, 2}}; map its values with target_map.")
 
 
 def clean_tabular(df: DataFrame, spec: TabularSpec) -> DataFrame:
@@ -203,8 +204,8 @@ def target_classes(df: DataFrame, target_col: str = "target", both: bool = True)
         F.bool_or(y == 1.0).alias("one"),
     ).first()
     if row["valid"] is False:
-        raise ValueError(f"Expected target values within [0, 1] in '{target_col}'.")
+        raise ValueError(f"'{target_col}' has values other than 0 and 1.")
     classes = [c for c, seen in ((0, row["zero"]), (1, row["one"])) if seen]
     if both and classes != [0, 1]:
-        raise ValueError(f"Expected both binary target classes in '{target_col}', found: {classes}")
+        raise ValueError(f"'{target_col}' lacks a class; present: {classes}")
     return classes

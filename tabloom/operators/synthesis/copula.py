@@ -25,7 +25,7 @@ class CopulaFit:
     columns: list[str]
     size: int
     sorted_cells: DataFrame  # (col, idx, l, d, s)
-    correlation: np.ndarray
+    factor: np.ndarray  # of the rank correlation
 
 
 def reject_missing(df: DataFrame, columns: Sequence[str]) -> None:
@@ -69,19 +69,19 @@ def correlation_matrix(scores: DataFrame, columns: Sequence[str]) -> np.ndarray:
     vectors = VectorAssembler(inputCols=list(columns), outputCol="v").transform(scores).select("v").persist()
     matrix = Correlation.corr(vectors, "v").first()[0].toArray()
     vectors.unpersist()
-    matrix = np.nan_to_num(matrix, nan=0.0, posinf=0.0, neginf=0.0)
-    np.fill_diagonal(matrix, 1.0)
-    return matrix
+    # a constant column has no correlation with any other
+    return np.where(np.isfinite(matrix), matrix, np.eye(len(columns)))
 
 
-def nearest_psd(matrix: np.ndarray, floor: float = 1e-6) -> np.ndarray:
-    """Symmetric matrix with eigenvalues of at least ``floor`` and unit diagonal; works on d x d numbers only."""
-    values, vectors = np.linalg.eigh(0.5 * (matrix + matrix.T))
-    lifted = (vectors * np.maximum(values, floor)) @ vectors.T
-    scale = 1.0 / np.sqrt(np.diagonal(lifted))
-    out = lifted * scale[:, None] * scale[None, :]
-    np.fill_diagonal(out, 1.0)
-    return out
+def draw_factor(correlation: np.ndarray, floor: float = 1e-6) -> np.ndarray:
+    """Rows that turn independent normals into correlated ones of unit variance; works on d x d numbers only.
+
+    Each row of eigenvectors is stretched by the roots of the eigenvalues, none taken below ``floor``, and
+    brought to length one, so any symmetric matrix gives a valid draw and no second factorisation is needed.
+    """
+    strength, directions = np.linalg.eigh((correlation + correlation.T) / 2)
+    rows = directions * np.sqrt(np.clip(strength, floor, None))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def fit_copula(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> CopulaFit:
@@ -93,21 +93,19 @@ def fit_copula(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None
     cells = ranked_cells(df, columns, key)
     scores = _scores(cells, len(columns), len(key), size)
     raw = correlation_matrix(scores, [f"score_{i}" for i in range(len(columns))])
-    return CopulaFit(columns, size, cells.select("col", "idx", *_FIELDS), nearest_psd(raw))
+    return CopulaFit(columns, size, cells.select("col", "idx", *_FIELDS), draw_factor(raw))
 
 
-def correlated_normals(rows: DataFrame, correlation: np.ndarray, seed: int, row: str = "row_id") -> DataFrame:
-    """Add ``y_<i>``: standard normal columns with the given correlation, as native arithmetic."""
-    factor = np.linalg.cholesky(correlation)
+def correlated_normals(rows: DataFrame, factor: np.ndarray, seed: int, row: str = "row_id") -> DataFrame:
+    """Add ``y_<i>``: standard normal columns mixed by the rows of ``factor``, as one product of arrays each."""
     d = len(factor)
-    drawn = rows.withColumns({f"_z_{i}": standard_normal(seed, f"copula:{i}", F.col(row)) for i in range(d)})
-    mixed = {}
-    for i in range(d):
-        total = F.lit(float(factor[i, 0])) * F.col("_z_0")
-        for k in range(1, i + 1):
-            total = total + F.lit(float(factor[i, k])) * F.col(f"_z_{k}")
-        mixed[f"y_{i}"] = total
-    return drawn.withColumns(mixed).drop(*[f"_z_{i}" for i in range(d)])
+    drawn = rows.withColumn("_z", F.array(*[standard_normal(seed, f"copula:{i}", F.col(row)) for i in range(d)]))
+
+    def mixed(weights: np.ndarray):
+        terms = F.zip_with("_z", F.array(*[F.lit(float(w)) for w in weights]), lambda z, w: z * w)
+        return never_null(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x), 0.0)
+
+    return drawn.withColumns({f"y_{i}": mixed(factor[i]) for i in range(d)}).drop("_z")
 
 
 def gaussian_copula(
@@ -118,7 +116,7 @@ def gaussian_copula(
     fit = fit_copula(df, key, columns)
     source = df.select(*fit.columns)
     rows = df.sparkSession.range(n_rows if n_rows is not None else fit.size).select(F.col("id").alias("row_id"))
-    normals = correlated_normals(rows, fit.correlation, seed)
+    normals = correlated_normals(rows, fit.factor, seed)
     below_one = F.lit(1.0 - 2.0**-52)
     draws = normals.select("row_id", *[
         never_null(F.floor(F.least(normal_cdf(F.col(f"y_{i}")), below_one) * F.lit(float(fit.size))).cast("bigint"), 0).alias(f"_at_{c}")

@@ -12,7 +12,6 @@ METHOD_LABELS = {
     "independent": "Ind.", "gaussian_copula": "Gauss.", "random_forest": "RF", "xgboost": "XGB",
     "ctgan": "CTGAN", "tvae": "TVAE",
 }
-DATASET_LABELS = {"weak_multimodal": "Manual", "weak_multimodal_strict": "Strict"}
 
 
 def _label(column: str, labels: Mapping[str, object]):
@@ -21,10 +20,10 @@ def _label(column: str, labels: Mapping[str, object]):
 
 
 def comparison_table(
-    summaries: Sequence[DataFrame], dataset_labels: Mapping[str, str] = DATASET_LABELS,
+    summaries: Sequence[DataFrame], dataset_labels: Mapping[str, str],
     method_labels: Mapping[str, str] = METHOD_LABELS,
 ) -> DataFrame:
-    """Union of summaries, limited to the known datasets and methods, labelled, in display order."""
+    """Union of summaries, limited to the datasets and methods that have a label, labelled, in display order."""
     combined = summaries[0]
     for s in summaries[1:]:
         combined = combined.unionByName(s, allowMissingColumns=True)

@@ -12,7 +12,7 @@ from tabloom.functions.hashing import uniform
 from tabloom.operators import alignment, fidelity, metrics, textfeatures, utility
 from tabloom.operators.cleaning import TextSpec
 from tabloom.operators.synthesis import gaussian_copula, independent, repair_domains, sequential
-from tabloom.operators.synthesis.copula import correlated_normals, correlation_matrix, fit_copula, nearest_psd
+from tabloom.operators.synthesis.copula import correlated_normals, correlation_matrix, draw_factor, fit_copula
 from tabloom.operators.synthesis.levels import few_valued
 from tabloom.operators.synthesis.repair import cast_back
 from tabloom.operators.synthesis.sequential import TreeSettings
@@ -42,18 +42,19 @@ def spearman(df, a, b):
 # --- copula ---
 
 
-def test_nearest_psd():
+def test_draw_factor():
     broken = np.array([[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]])
-    fixed = nearest_psd(broken)
+    factor = draw_factor(broken)
+    fixed = factor @ factor.T
     assert np.allclose(np.diagonal(fixed), 1.0) and np.allclose(fixed, fixed.T)
     assert np.linalg.eigvalsh(fixed).min() > 0
     already = np.array([[1.0, 0.3], [0.3, 1.0]])
-    assert np.allclose(nearest_psd(already), already)
+    assert np.allclose(draw_factor(already) @ draw_factor(already).T, already)
 
 
 def test_correlated_normals(spark):
     wanted = np.array([[1.0, 0.6, 0.2], [0.6, 1.0, 0.3], [0.2, 0.3, 1.0]])
-    rows = correlated_normals(spark.range(20000).withColumnRenamed("id", "row_id"), wanted, 42)
+    rows = correlated_normals(spark.range(20000).withColumnRenamed("id", "row_id"), draw_factor(wanted), 42)
     got = correlation_matrix(rows, ["y_0", "y_1", "y_2"])
     assert np.abs(got - wanted).max() < 0.02
 
@@ -328,9 +329,12 @@ def test_ablation_and_tuning(spark, real):
     assert {"rounds", "depth"} <= set(ranked[0].asDict())
 
 
+LABELS = {"weak_multimodal": "Manual", "weak_multimodal_strict": "Strict"}
+
+
 def test_comparison_is_ordered_and_checked(spark):
     rows = [(d, m, 0.5) for d in ("weak_multimodal", "other") for m in ("xgboost", "independent", "mystery")]
-    table = compare.comparison_table([spark.createDataFrame(rows, "dataset string, method string, tstr_auroc_mean double")])
+    table = compare.comparison_table([spark.createDataFrame(rows, "dataset string, method string, tstr_auroc_mean double")], LABELS)
     assert [(r["benchmark"], r["method_label"]) for r in table.collect()] == [("Manual", "Ind."), ("Manual", "XGB")]
     with pytest.raises(ValueError, match="Manual: ctgan"):
         compare.require_complete(table)

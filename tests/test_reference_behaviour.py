@@ -24,11 +24,12 @@ def test_rule_lookup(spark):
 
 def test_sampling_is_reproducible_and_keeps_the_schema(spark):
     df = spark.createDataFrame(
-        [(i, float(i + 1), "ab"[i % 2], i % 2) for i in range(6)], "id int, numeric double, category string, target bigint"
+        [(i, 10.5 - i, ("red", "blue", "green")[i % 3], int(i > 4)) for i in range(9)],
+        "id int, weight double, colour string, target bigint",
     )
     once = independent(df, ["id"], 20, seed=7)
     again = independent(df.repartition(5), ["id"], 20, seed=7)
-    assert once.columns == ["row_id", "numeric", "category", "target"]
+    assert once.columns == ["row_id", "weight", "colour", "target"]
     assert [f.dataType for f in once.schema][1:] == [f.dataType for f in df.schema][1:]
     assert once.count() == 20
     assert sorted(once.collect()) == sorted(again.collect())
@@ -36,17 +37,17 @@ def test_sampling_is_reproducible_and_keeps_the_schema(spark):
 
 def test_leakage_columns_are_removed(spark):
     df = spark.createDataFrame(
-        [(1, 0, "no", "low", "bad"), (2, 1, "yes", "high", "good")],
-        "feature bigint, target bigint, y string, salary string, credit_risk string",
+        [(0.5, 1, "y1", "s1", "c1"), (0.75, 0, "y2", "s2", "c2"), (0.125, 0, "y2", "s3", "c1")],
+        "height double, target bigint, y string, salary string, credit_risk string",
     )
-    assert drop_leakage(df).columns == ["feature"]
+    assert drop_leakage(df).columns == ["height"]
     assert target_classes(df) == [0, 1]
 
 
 def test_identical_tables_have_zero_distance(spark):
     df = spark.createDataFrame(
-        [(float(i), "abc"[i % 3], ("negative", "positive")[i % 2], i % 2) for i in range(30)],
-        "value double, group string, text_sentiment string, target bigint",
+        [(i * i / 7, f"zone {i % 4}", ("neutral", "positive", "negative")[i % 3], int(i % 5 < 2)) for i in range(47)],
+        "area double, zone string, text_sentiment string, target bigint",
     )
     report = fidelity_report(df, df).collect()
     assert {r["type"] for r in report} == {"numeric", "categorical", "cross_modal"}
@@ -56,11 +57,11 @@ def test_identical_tables_have_zero_distance(spark):
 
 
 def test_smoke_run(spark):
-    rows = spark.range(80).select(
-        "id", (21 + F.col("id") % 45).alias("age"), (F.lit(250.0) + 37 * F.col("id") + 400 * (F.col("id") % 2)).alias("balance"),
-        F.element_at(F.array(*map(F.lit, ("admin", "services", "technician", "management"))), (F.col("id") % 4 + 1).cast("int")).alias("job"),
-        F.when(F.col("id") % 2 == 1, "positive").otherwise("negative").alias("text_sentiment"),
-        (F.col("id") % 2).alias("target"), F.when(F.col("id") % 2 == 1, "yes").otherwise("no").alias("y"),
+    owner = F.col("id") % 3 == 0
+    rows = spark.range(90).select(
+        "id", (F.col("id") * 7 % 50).alias("floor_area"), F.when(owner, F.lit(9.0)).otherwise(F.col("id") % 8).alias("rooms"),
+        F.concat(F.lit("district "), F.col("id") % 5).alias("district"),
+        F.when(owner, "positive").otherwise("neutral").alias("text_sentiment"), owner.cast("bigint").alias("target"),
     )
     synth, fidelity, utility = synthesize_and_judge(Dataset(rows, ["id"]), generators()["independent"], 120)
     assert synth.columns == rows.columns[1:]
