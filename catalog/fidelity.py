@@ -24,6 +24,24 @@ def profile_columns(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def column_metadata(spark, sf):
+    """Kind and exact distinct count of every column of the orders."""
+    return pf.column_metadata(table(spark, sf, "orders"), ids=["o_orderkey"])
+
+
+def _metadata_sql() -> str:
+    kinds = {
+        "o_orderkey": ("bigint", "'id'"), "o_custkey": ("bigint", None), "o_orderstatus": ("string", "'categorical'"),
+        "o_totalprice": ("double", "'numerical'"), "o_orderdate": ("timestamp_ntz", "'datetime'"),
+        "o_orderpriority": ("string", "'categorical'"),
+    }
+    by_count = "CASE WHEN count(DISTINCT {c}) <= 20 THEN 'categorical' ELSE 'numerical' END"
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, {kind or by_count.format(c=c)} AS sdtype, count(DISTINCT {c}) AS n_distinct FROM orders"
+        for c, (dtype, kind) in kinds.items()
+    )
+
+
 def _profile_sql() -> str:
     tables = {
         "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
@@ -181,6 +199,7 @@ _REPORT_DOUBLES = [*_NUMERIC_OUT, "total_variation_distance", "real_prob", "synt
 
 QUERIES = {
     "profile_columns": (profile_columns, _profile_sql()),
+    "column_metadata": (column_metadata, _metadata_sql()),
     "value_distribution": (
         value_distribution,
         "SELECT o_orderpriority, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM orders GROUP BY 1",

@@ -72,6 +72,32 @@ def profile_columns(df: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, n_levels bigint, sdtype string")
 
 
+def column_metadata(df: DataFrame, ids: Sequence[str] = (), max_levels: int = MAX_LEVELS) -> DataFrame:
+    """One row per column: storage type, kind and exact number of distinct non-null values.
+
+    Kinds: ``id`` for the named columns, ``boolean``, ``datetime``, ``categorical`` for text and for integers of at most
+    ``max_levels`` values, ``numerical`` for all other numbers. Values are combined within tasks before one shuffle.
+    """
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value")) for f in df.schema])
+    counts = df.select(F.explode(cells).alias("cell")).select("cell.*").where("value IS NOT NULL").distinct().groupBy("column").count()
+
+    def kind(f: T.StructField) -> str:
+        if f.name in ids:
+            return "id"
+        if isinstance(f.dataType, T.BooleanType):
+            return "boolean"
+        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return "datetime"
+        return "integer" if is_integer(f.dataType) else "numerical" if is_numeric(f.dataType) else "categorical"
+
+    known = df.sparkSession.createDataFrame(
+        [(f.name, f.dataType.simpleString(), kind(f)) for f in df.schema], "column string, dtype string, kind string"
+    )
+    n = F.coalesce("count", F.lit(0))
+    sdtype = F.when(F.col("kind") != "integer", F.col("kind")).when(n <= max_levels, "categorical").otherwise("numerical")
+    return known.join(counts, "column", "left").select("column", "dtype", sdtype.alias("sdtype"), n.alias("n_distinct"))
+
+
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
     """Rows and share of each value of one column."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))

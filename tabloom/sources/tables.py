@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +80,48 @@ def labels_for(rules: DataFrame, target: int) -> list[str]:
 
 def required_targets(rules: DataFrame) -> list[int]:
     return [r["target"] for r in rules.select("target").distinct().orderBy("target").collect()]
+
+
+@dataclass(frozen=True)
+class RuleBook:
+    """All that a rule file says: the columns it is about, labels per target in their order, and what must hold."""
+
+    rules: Mapping[int, Sequence[str]] = field(default_factory=lambda: dict(DEFAULT_RULES))
+    target_column: str = "target"
+    label_column: str = "sentiment"
+    name: str = ""
+    description: str = ""
+    sources: Mapping[str, str] = field(default_factory=dict)
+    constraints: Mapping[str, object] = field(default_factory=dict)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return rules_frame(spark, self.rules)
+
+    def labels(self, target: int) -> list[str]:
+        """Allowed labels of a target in the order of the file; an unknown target is an error."""
+        if target not in self.rules:
+            raise ValueError(f"No rule for target value {target}.")
+        return list(self.rules[target])
+
+
+def read_rule_book(spark: SparkSession, path: str) -> RuleBook:
+    """A whole rule file, read through Spark so that any of its file systems serves."""
+    file = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    schema = dict(file.get("schema", {}))
+    rules = {int(t): tuple(labels) for t, labels in file["alignment_rules"]["target_to_text_sentiment"].items()}
+    return RuleBook(
+        rules, schema.pop("target_column", "target"), schema.pop("text_label_column", "sentiment"), file.get("name", ""),
+        file.get("description", ""), schema, file.get("constraints", {}),
+    )
+
+
+def write_rule_book(spark: SparkSession, book: RuleBook, path: str) -> None:
+    """Write the whole rule file; ``read_rule_book`` and ``read_rules`` read it."""
+    file = {
+        "name": book.name, "description": book.description,
+        "schema": {**book.sources, "target_column": book.target_column, "text_label_column": book.label_column},
+        "alignment_rules": {"target_to_text_sentiment": {str(t): list(v) for t, v in book.rules.items()}},
+        "constraints": dict(book.constraints),
+    }
+    text = json.dumps(file, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -10,7 +10,8 @@ from tabloom.operators.cleaning import target_from_domain
 from tabloom.operators.fidelity import fidelity_report
 from tabloom.operators.synthesis import independent, repair_domains, sequential
 from tabloom.operators.synthesis.sequential import TreeSettings
-from tabloom.sources.tables import rules_frame
+from tabloom.operators.profile import column_metadata
+from tabloom.sources.tables import RuleBook, read_rule_book, read_rules, rules_frame, write_rule_book
 
 FOREST = TreeSettings("rf", trees=4, depth=4)
 
@@ -77,3 +78,26 @@ def test_alignment_checks_its_inputs(spark):
         weak_alignment(ones, text, rules_frame(spark), "id", "doc_id")
     with pytest.raises(ValueError, match="sentiment"):
         weak_alignment(ones, text.drop("sentiment"), rules_frame(spark), "id", "doc_id")
+
+
+def test_rule_files_keep_all_they_say(spark, tmp_path):
+    book = RuleBook({1: ("positive", "neutral"), 0: ("negative",)}, "outcome", "mood", "n", "d", {"text_source": "t"}, {"strict": True})
+    path = str(tmp_path / "rules")
+    write_rule_book(spark, book, path)
+    assert read_rule_book(spark, path) == book
+    assert book.labels(1) == ["positive", "neutral"]
+    assert sorted(map(tuple, read_rules(spark, path).collect())) == [(0, "negative"), (1, "neutral"), (1, "positive")]
+    with pytest.raises(ValueError, match="No rule"):
+        book.labels(7)
+
+
+def test_column_metadata_knows_all_kinds(spark):
+    df = spark.range(50).selectExpr(
+        "id", "id % 4 AS few", "id * 1.5 AS x", "id % 2 = 0 AS b", "date_add(date'2020-01-01', CAST(id AS INT)) AS d",
+        "IF(id % 2 = 0, 'a', NULL) AS t", "CAST(NULL AS INT) AS nothing",
+    )
+    rows = {r["column"]: (r["sdtype"], r["n_distinct"]) for r in column_metadata(df, ids=["id"]).collect()}
+    assert rows == {
+        "id": ("id", 50), "few": ("categorical", 4), "x": ("numerical", 50), "b": ("boolean", 2), "d": ("datetime", 50),
+        "t": ("categorical", 1), "nothing": ("categorical", 0),
+    }
