@@ -107,11 +107,11 @@ def sequential_table(spark, sf):
 
 
 def seq_rf(spark, sf):
-    return sequential(sequential_table(spark, sf), ["o_orderkey"], settings=TreeSettings("rf", trees=5, depth=5))
+    return sequential(sequential_table(spark, sf), ["o_orderkey"], settings=TreeSettings("rf"), max_training_rows=5_000)
 
 
 def seq_gbt(spark, sf):
-    return sequential(sequential_table(spark, sf), ["o_orderkey"], settings=TreeSettings("gbt", rounds=3, depth=3))
+    return sequential(sequential_table(spark, sf), ["o_orderkey"], settings=TreeSettings("gbt"), max_training_rows=8_000)
 
 
 def class_draw(spark, sf):

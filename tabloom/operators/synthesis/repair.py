@@ -46,7 +46,7 @@ def repair_domains(
         elif c in low:
             value = nearest_valid(as_number(parsed[c]), list(valid[c]), f.dataType) if valid[c] else F.lit(None).cast(f.dataType)
         elif c in high:
-            value = half_even(F.coalesce(as_number(parsed[c]), F.lit(medians.get(c))), f.dataType)
+            value = F.coalesce(half_even(as_number(parsed[c]), f.dataType), F.lit(medians.get(c)).cast(f.dataType))
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             value = as_number(parsed[c]).cast(f.dataType)
         else:
