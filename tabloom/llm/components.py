@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the smallest label around it and then the label of that label, which shortens paths by
     half; rounds end when nothing changes. Labels stay in tables; one truth value a round reaches the driver.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    ways = F.array(*[F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))])
+    both = links.select(F.explode(ways).alias("way")).select("way.*")
     edges = stored(both.where("node <> other").distinct(), "component-links")
     labels = stored(
         edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "component-labels"

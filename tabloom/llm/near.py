@@ -15,13 +15,13 @@ from tabloom.llm.storage import stored, whole_text
 from tabloom.llm.tokens import Words, mixed, shingles, text_chunks
 
 _SMALLEST = -(2**63)
-#: A candidate pair is dropped unread when fewer than half of its minhashes agree. At a similarity of 0.85 the
+#: Candidates of which fewer than half of the minhashes agree are not held to be similar. At a similarity of 0.85 the
 #: chance of that is below 1e-7.
 _LEAST_AGREEING = 0.5
-#: Rows of one table key that are compared in one group; larger ones are dealt out as pairs of blocks.
-BLOCK = 4_096
-#: Members of a leader that are verified in one group.
-_LEADER_ROWS = 1_000
+#: Rows of a table key whose sketches are compared in one group; larger ones are dealt out as pairs of blocks.
+KEY_BLOCK = 4_096
+#: Documents of a family whose sets are compared in one group; larger families are dealt out as pairs of blocks.
+FAMILY_BLOCK = 1_024
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ def _sketches(spec: NearSpec):
                         least[full, j] = np.minimum.reduceat((sets ^ masks[j]) * factors[j], starts)
                 names += _digests(sets, bounds)
                 sizes += np.diff(bounds).tolist()
-                minima += [row.tobytes() for row in (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)]
+                minima += [row.tobytes() for row in (mixed(least) & np.uint64(0xFF)).astype(np.uint8)]
                 key = np.full((n, 2 * spec.groups), 17, np.uint64)
                 for r in range(spec.rows):
                     key = mixed(key * np.uint64(31) + least[:, r :: spec.rows])
@@ -112,110 +112,46 @@ def _full_sets(spec: NearSpec):
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The share of minhashes on which two sketches agree."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        left, right = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ma", "mb")
-        )
-        share = (left == right).mean(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], names=["a", "b", "share"])
-
+class _Groups:
+    """Labels of rows that are joined as similar ones are found; only rows of other labels are still compared."""
 
-def _confirmed(spec: NearSpec):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (a, salt, b) with the leader's own set first: every member against its leader."""
-        leader, own = None, None
-        for batch in batches:
-            found = []
-            for a, salt, b, members in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "members")), strict=True):
-                values = np.frombuffer(members, np.uint64)
-                if b is None:
-                    leader, own = (a, salt), values
-                elif leader == (a, salt):
-                    common = len(np.intersect1d(own, values, assume_unique=True))
-                    if spec.den * common >= spec.num * (len(own) + len(values) - common):
-                        found.append((a, b))
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    def __init__(self, n: int):
+        self.label, self.edges = np.arange(n), []
 
-    return run
+    def join(self, i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            if self.label[i] != self.label[j]:
+                self.edges.append((i, j))
+                self.label[self.label == self.label[j]] = self.label[i]
 
+    def others(self, i: int, among: np.ndarray) -> np.ndarray:
+        return among[self.label[among] != self.label[i]]
 
-def confirmed_links(pairs: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets. A leader with very many pairs is salted."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _LEADER_ROWS).cast("int").alias("parts"))
-    salted = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    leaders = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    members = salted.join(sets.select(F.col("cid").alias("b"), "members"), "b").select("a", "salt", "b", "members")
-    own = leaders.join(sets.select(F.col("cid").alias("a"), "members"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "members")
-    dealt = own.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(_confirmed(spec), "a binary, b binary").distinct()
-
-
-def _with_agreement(pairs: DataFrame, classes: DataFrame, spec: NearSpec) -> DataFrame:
-    """(a, b, share) of the pairs whose sizes and minhashes allow a link."""
-    left = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("minima").alias("ma"))
-    right = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("minima").alias("mb"))
-    sized = pairs.join(left, "a").join(right, "b").where(
-        spec.den * F.least("na", "nb") >= spec.num * F.greatest("na", "nb")
-    ).select("a", "b", "ma", "mb")
-    return sized.mapInArrow(_agreeing, "a binary, b binary, share double").where(F.col("share") >= _LEAST_AGREEING)
-
-
-def _cross_pairs(spec: NearSpec):
-    def fits(rows: list[tuple], one: np.ndarray, two: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        n, free, label = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-        minima = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), -1)
-        for low in range(0, len(one), 256):
-            part = one[low : low + 256]
-            common = np.minimum(free[part][:, None], free[two][None, :])
-            union = n[part][:, None] + n[two][None, :] - common
-            ok = (spec.den * common >= spec.num * union) & (label[part][:, None] != label[two][None, :])
-            i, j = np.nonzero(ok)
-            i, j = part[i], two[j]
-            keep = np.array([rows[a][0] < rows[b][0] for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-            i, j = i[keep], j[keep]
-            for at in range(0, len(i), 20_000):
-                a, b = i[at : at + 20_000], j[at : at + 20_000]
-                near = (minima[a] == minima[b]).mean(axis=1) >= _LEAST_AGREEING
-                for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-                    yield rows[x][0], rows[y][0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (t, g): the pairs of one key, or of two blocks of it, that stand in different components."""
-        key, rows, seen = None, [], set()
-
-        def close():
-            labels: dict[bytes, int] = {}
-            numbered = [(r[0], r[1], r[2], labels.setdefault(r[3], len(labels)), r[4]) for r in rows]
-            if len(labels) > 1:
-                first = np.array([r[5] for r in rows])
-                blocks = sorted(set(first.tolist()))
-                one, two = np.flatnonzero(first == blocks[0]), np.flatnonzero(first == blocks[-1])
-                for x, y in (*fits(numbered, one, two), *(fits(numbered, two, one) if len(blocks) > 1 else ())):
-                    seen.add((x, y))
+def _sides(blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a group that look for partners, and those among which they look: one block, or one against another."""
+    of = np.array(blocks)
+    one = np.flatnonzero(of == of.min())
+    return (one, one) if of.min() == of.max() else (one, np.flatnonzero(of != of.min()))
 
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("t", "g", "cid", "n", "free", "label", "minima", "block"))
-            for t, g, *row in zip(*columns, strict=True):
-                if key != (t, g):
-                    if rows:
-                        close()
-                    key, rows = (t, g), []
-                rows.append(tuple(row))
-            if len(seen) > 50_000:
-                yield _pair_batch(seen)
-                seen.clear()
-        if rows:
-            close()
-        if seen:
-            yield _pair_batch(seen)
 
-    return run
+def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], link) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by the first two of ``names``; ``link`` gives the joined pairs of each group, which are sent on."""
+    key, rows, found = None, [], set()
+    for batch in batches:
+        for first, second, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if key != (first, second):
+                if len(rows) > 1:
+                    found.update(link(rows))
+                key, rows = (first, second), []
+            rows.append(row)
+        if len(found) > 20_000:
+            yield _pair_batch(found)
+            found = set()
+    if len(rows) > 1:
+        found.update(link(rows))
+    if found:
+        yield _pair_batch(found)
 
 
 def _pair_batch(pairs) -> pa.RecordBatch:
@@ -223,8 +159,60 @@ def _pair_batch(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _tables(classes: DataFrame, spec: NearSpec) -> DataFrame:
-    """(t, cid): the table keys that at least two classes have.
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the rows of a table key whose sketches agree; a row already joined to another is not compared with it."""
+
+    def link(rows: list) -> list[tuple[bytes, bytes]]:
+        minima = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+        groups, (one, two) = _Groups(len(rows)), _sides([r[2] for r in rows])
+        for i in one.tolist():
+            rest = groups.others(i, two)
+            if len(rest):
+                groups.join(i, rest[(minima[rest] == minima[i]).mean(axis=1) >= _LEAST_AGREEING])
+        return [(rows[i][0], rows[j][0]) for i, j in groups.edges]
+
+    return _grouped(batches, ("t", "g", "cid", "minima", "block"), link)
+
+
+def _confirmed(spec: NearSpec):
+    def link(rows: list) -> list[tuple[bytes, bytes]]:
+        """Pairs that are links by their full sets, as many as it takes to join all that are linked."""
+        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        groups, (one, two) = _Groups(len(rows)), _sides([r[2] for r in rows])
+        owners = np.repeat(np.arange(len(two)), sizes[two])
+        values = np.concatenate([sets[j] for j in two.tolist()])
+        order = np.argsort(values, kind="stable")
+        values, owners = values[order], owners[order]
+        for i in one.tolist():
+            open_ = groups.label[two] != groups.label[i]
+            open_ &= spec.den * np.minimum(sizes[two], sizes[i]) >= spec.num * np.maximum(sizes[two], sizes[i])
+            if not open_.any():
+                continue
+            low, high = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            many = high - low
+            at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(owners[at], minlength=len(two))
+            linked = open_ & (spec.den * common >= spec.num * (sizes[two] + sizes[i] - common))
+            groups.join(i, two[linked])
+        return [(rows[i][0], rows[j][0]) for i, j in groups.edges]
+
+    return lambda batches: _grouped(batches, ("family", "g", "cid", "members", "block"), link)
+
+
+def _in_blocks(rows: DataFrame, key: str, counts: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``block`` and ``g``: a key of more than ``size`` rows meets as pairs of blocks, each a group."""
+    numbered = rows.join(counts.select(key, F.ceil(F.col("c") / size).cast("int").alias("blocks")), key)
+    placed = numbered.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    groups = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.least("block", other) * F.col("blocks") + F.greatest("block", other),
+    )
+    return placed.withColumn("g", F.explode(groups)).drop("blocks").repartition(key, "g").sortWithinPartitions(key, "g")
+
+
+def _tables(classes: DataFrame, spec: NearSpec) -> tuple[DataFrame, DataFrame]:
+    """(t, cid): the table keys of each class, and (t, c): those that at least two classes have.
 
     A table key combines one key of each collection. Only keys that occur twice can make one that does, so the others
     go before they are combined, and what is combined is a small part of the corpus.
@@ -238,8 +226,8 @@ def _tables(classes: DataFrame, spec: NearSpec) -> DataFrame:
     grouped = shared.groupBy("cid").agg(first.alias("ones"), second.alias("twos"))
     keys = grouped.select("cid", F.explode("ones").alias("one"), "twos").select("cid", "one", F.explode("twos").alias("two"))
     tables = stored(keys.select(F.xxhash64("one", "two").alias("t"), "cid"), "near-keys")
-    used = tables.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("lead")).where("c > 1")
-    return tables.join(used, "t")
+    counts = tables.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return tables, counts
 
 
 def near_groups(docs: DataFrame, spec: NearSpec = NearSpec(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,12 +235,11 @@ def near_groups(docs: DataFrame, spec: NearSpec = NearSpec(), id_col: str = "doc
 
     1. One pass over the whole texts gives the size, name and minhashes of each set. Rows of equal sets are one class.
     2. Table keys combine pairs of keys of two smaller collections; classes that share one are candidates.
-    3. Every candidate is verified against the most similar leader of its keys; components of these links follow.
-    4. What is left are pairs of one key in different components. A pair is passed over only if it cannot be a link:
-       by sizes, by the shingles of either that no other candidate has, or by minhashes. The rest is verified.
+    3. Candidates whose sketches agree are joined to families, which hold every pair that can be a link.
+    4. Within each family the full sets are compared, and the links make the components.
 
-    So the pairs of a group of copies are never listed: those inside a component are not needed, and those outside are
-    sifted on a few numbers per row, in blocks of ``BLOCK`` rows of a key.
+    Pairs are never listed: a group gives at most one row per member, as many as it takes to join it, and what is
+    already joined is not compared. Large keys and families are dealt out as pairs of blocks.
 
     Ids are whole numbers. Rows without words have the empty set, are linked with nothing and kept. A null text is
     empty; a null id comes before all others. Rows that repeat an id share what is decided for it. An empty table gives
@@ -268,42 +255,18 @@ def near_groups(docs: DataFrame, spec: NearSpec = NearSpec(), id_col: str = "doc
     classes = stored(
         sketches.where("n > 0").join(named, ["cid", "id"], "left_semi").dropDuplicates(["cid"]), "near-classes"
     )
-    tables = stored(_tables(classes, spec), "near-tables")
-    involved = tables.select("cid").distinct().join(classes.select("cid", "id"), "cid")
+    tables, counts = _tables(classes, spec)
+    keyed = tables.join(counts.select("t"), "t", "left_semi").join(classes.select("cid", "minima"), "cid")
+    alike = stored(_in_blocks(keyed, "t", counts, KEY_BLOCK).mapInArrow(_alike, "a binary, b binary").distinct(), "near-alike")
+    families = components(alike).select(F.col("node").alias("cid"), F.col("label").alias("family"))
+    involved = families.join(classes.select("cid", "id"), "cid")
     sets = stored(
         body.join(involved, "id").select("cid", "body").mapInArrow(_full_sets(spec), "cid binary, members binary"), "near-sets"
     )
-    starred = tables.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    likely = _with_agreement(starred, classes, spec)
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("share", "a")).alias("a")).select("a", "b")
-    links = stored(confirmed_links(best, sets, spec), "near-links")
-    labels = components(links)
-
-    # what two shingle sets can have in common at most: the members that some other candidate has as well
-    single = sets.select("cid", F.explode(_as_numbers("members")).alias("s"))
-    alone = single.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("cid")).where("c = 1").groupBy("cid").agg(
-        F.count(F.lit(1)).alias("alone")
-    )
-    able = classes.join(tables.select("cid").distinct(), "cid").join(alone, "cid", "left").select(
-        "cid", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("free"), "minima"
-    ).where(spec.den * F.col("free") >= spec.num * F.col("n")).join(
-        labels.select(F.col("node").alias("cid"), "label"), "cid", "left"
-    ).withColumn("label", F.coalesce("label", "cid"))
-    able = stored(able, "near-able")
-    rest = tables.select("t", "cid").join(able, "cid")
-    mixed_keys = rest.groupBy("t").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
-    ).where("low <> high").select("t", "blocks")
-    blocked = rest.join(mixed_keys, "t").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = blocked.select(
-        "t", "cid", "n", "free", "label", "minima", "block", F.explode(F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda other: F.least("block", other) * F.col("blocks") + F.greatest("block", other),
-        )).alias("g"),
-    )
-    pairs = dealt.repartition("t", "g").sortWithinPartitions("t", "g").mapInArrow(_cross_pairs(spec), "a binary, b binary").distinct()
-    more = stored(confirmed_links(pairs, sets, spec), "near-links")
-    final = components(links.union(more))
+    members = families.join(sets, "cid")
+    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
+    links = _in_blocks(members, "family", sizes, FAMILY_BLOCK).mapInArrow(_confirmed(spec), "a binary, b binary")
+    final = components(links)
 
     ids = named.join(final.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = ids.groupBy("label").agg(F.min("id").alias("component"))
@@ -314,10 +277,3 @@ def near_groups(docs: DataFrame, spec: NearSpec = NearSpec(), id_col: str = "doc
         plain[0].alias(id_col), F.col("n").alias("n_shingles"), plain[1].alias("component_id"),
         (F.col("id") == F.col("component")).alias("kept"),
     )
-
-
-def _as_numbers(column: str):
-    """The 64-bit members of a binary set as an array of 16-digit names."""
-    return F.expr(
-        f"transform(sequence(1, octet_length({column}), 8), i -> substring({column}, i, 8))"
-    )

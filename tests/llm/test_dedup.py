@@ -105,8 +105,8 @@ def near_rows(seed, groups=6, copies=25):
 
 @pytest.mark.parametrize(("seed", "spec"), [(1, NearSpec(k=3, num=85, den=100)), (2, NearSpec())])
 def test_near_groups_match_brute_force(spark, seed, spec, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK", 8)
-    monkeypatch.setattr(near, "_LEADER_ROWS", 5)
+    monkeypatch.setattr(near, "KEY_BLOCK", 8)
+    monkeypatch.setattr(near, "FAMILY_BLOCK", 5)
     rows = near_rows(seed)
     got = {r[0]: tuple(r[1:]) for r in near_groups(frame(spark, rows), spec).collect()}
     assert got == brute_components(rows, spec)
