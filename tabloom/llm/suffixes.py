@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,12 +189,23 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as they go through a shuffle: each compressed by itself, to about half of what a shuffle makes of it."""
+    small = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        at = batch.schema.get_field_index("body")
+        bodies = pa.array([small.compress(b) for b in batch.column(at).to_pylist()], pa.binary())
+        yield batch.set_column(at, batch.schema.field(at), bodies)
+
+
 def _snippet_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row per run of windows; the text of a snippet goes with its first row of a batch only."""
+        large = zstandard.ZstdDecompressor()
         for batch in batches:
             sent, rows = set(), []
             for k1, k2, body, runs in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "body", "runs")), strict=True):
+                body = large.decompress(body)
                 for run in runs:
                     part = body[run["first"] : run["last"] + length]
                     name = hashlib.blake2b(part, digest_size=16).digest()
@@ -283,9 +295,11 @@ def _found_batch(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    large = zstandard.ZstdDecompressor()
     for batch in batches:
-        removed, spans, kept = [], [], []
+        sizes, removed, spans, kept = [], [], [], []
         for body, runs in zip(batch.column("body").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            body = large.decompress(body)
             parts, at, gone, n = [], 0, 0, 0
             for run in sorted((r["low"], r["high"] + length) for r in runs or ()):
                 if run[0] > at or n == 0:
@@ -297,11 +311,12 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
                     gone += run[1] - at
                     at = run[1]
             parts.append(body[at:])
+            sizes.append(len(body))
             removed.append(gone)
             spans.append(n)
             kept.append(b"".join(parts))
         yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id"), pa.array([len(b) for b in batch.column("body").to_pylist()], pa.int64()),
+            batch.column("doc_id"), pa.array(sizes, pa.int64()),
             pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()),
         ], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -333,6 +348,8 @@ def without_repeats(
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
         "doc_id", *text_key(F.col("text")), F.col("text").cast("binary").alias("body")
     )
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    squeezed = rows.mapInArrow(_squeezed, f"doc_id {kind}, k1 bigint, k2 bigint, body binary")
     anchored = stored(
         rows.select("k1", "k2", "body").where(F.octet_length("body") >= length).mapInArrow(
             _anchor_rows(length, gram), "k1 bigint, k2 bigint, h array<bigint>, first array<int>, last array<int>"
@@ -343,7 +360,7 @@ def without_repeats(
     shared = single.select("k1", "k2", "run", F.col("run.h").alias("h")).join(again, "h", "left_semi")
     wanted = shared.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs"))
     snippets = stored(
-        rows.select("k1", "k2", "body").join(wanted, ["k1", "k2"]).mapInArrow(
+        squeezed.select("k1", "k2", "body").join(wanted, ["k1", "k2"]).mapInArrow(
             _snippet_rows(length), "h bigint, s binary, k1 bigint, k2 bigint, first int, body binary"
         ), "suffix-snippets",
     )
@@ -364,8 +381,7 @@ def without_repeats(
         "k1", "k2", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high")
     )
     runs = places.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    joined = rows.join(runs, ["k1", "k2"], "left").select("doc_id", "body", "runs")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    joined = squeezed.join(runs, ["k1", "k2"], "left").select("doc_id", "body", "runs")
     return joined.mapInArrow(
         lambda batches: _kept(batches, length), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     ).withColumnRenamed("doc_id", id_col)
