@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.storage import stored, text_key, whole_text
+from tabloom.llm.storage import forget, stored, text_key, whole_text
 from tabloom.llm.tokens import mixed, text_chunks
 
 #: Bytes of a string that must not repeat.
@@ -364,6 +364,7 @@ def without_repeats(
             _snippet_rows(length), "h bigint, s binary, k1 bigint, k2 bigint, first int, body binary"
         ), "suffix-snippets",
     )
+    forget(anchored)
     counted = snippets.groupBy("s").agg(
         F.min("h").alias("h"), F.count(F.lit(1)).alias("copies"), F.first("body", ignorenulls=True).alias("body")
     )
