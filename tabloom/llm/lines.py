@@ -104,3 +104,76 @@ def without_repeated_chunks(
         F.aggregate(lost, F.lit(0).cast("long"), lambda n, c: n + c["size"]).alias("n_removed_lines"),
         F.when(F.size("gone") == 0, F.array_join("lines", "\n")).otherwise(text).alias(text_col),
     )
+
+
+def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, d1, d2, lines) of every row, and (doc_id, d1, d2, first, b1, b2) of every ``min_lines`` lines in a row.
+
+    ``b1`` and ``b2`` hash the lines of a window under two seeds; windows carry no text.
+    """
+    text = whole_text(text_col)
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2"),
+        F.split(text, "\n", -1).alias("lines"),
+    )
+    starts = F.when(
+        F.size("lines") >= min_lines, F.sequence(F.lit(1), F.size("lines") - min_lines + 1)
+    ).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
+    windows = rows.select("doc_id", "d1", "d2", hashes.alias("h"), F.explode(starts).alias("first"))
+    parts = [F.get("h", F.col("first") - 1 + k) for k in range(min_lines)]
+    return rows, windows.select(
+        "doc_id", "d1", "d2", "first", F.xxhash64(*[p["a"] for p in parts]).alias("b1"),
+        F.xxhash64(F.lit(7), *[p["b"] for p in parts]).alias("b2"),
+    )
+
+
+def without_repeated_runs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
+) -> DataFrame:
+    """(id, n_lines, n_removed_runs, n_removed_lines, text) for every row.
+
+    Every run of at least ``min_lines`` lines that occurs earlier (by id, then position, same document included) is
+    removed whole, wherever it begins: a run repeats exactly where each of its windows of ``min_lines`` lines does, so
+    windows at every line are the seeds and those side by side grow together. A removed line always stays in an
+    earlier place. What is left is joined by line feeds.
+
+    Windows meet by two 64-bit hashes; only the text of the first place of a repeated window moves, and a window is
+    removed where its lines equal those byte by byte. Null texts and ids and repeated rows are treated as by
+    ``without_repeated_chunks``; different texts of one id stand in the order of their hashes.
+    """
+    rows, windows = line_windows(docs, id_col, text_col, min_lines)
+    place = F.struct(
+        F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"),
+        "d1", "d2", "first",
+    )
+    firsts = windows.groupBy("b1", "b2").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    owned = firsts.groupBy("o.known", "o.i", "o.d1", "o.d2").agg(F.collect_list(F.struct("b1", "b2", "o.first")).alias("w"))
+    known = rows.select(
+        F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"),
+        "d1", "d2", "lines",
+    )
+    bodies = known.join(owned, ["known", "i", "d1", "d2"]).select(
+        "known", "i", "d1", "d2", "lines", F.explode("w").alias("w")
+    ).select(
+        F.col("w.b1").alias("b1"), F.col("w.b2").alias("b2"), F.struct("known", "i", "d1", "d2", "w.first").alias("owner"),
+        F.slice("lines", F.col("w.first"), min_lines).alias("body"),
+    ).groupBy("b1", "b2").agg(F.first("owner").alias("owner"), F.first("body").alias("body"))
+    again = windows.select("b1", "b2", place.alias("own")).join(bodies, ["b1", "b2"]).where("own <> owner")
+    per_doc = again.groupBy("own.known", "own.i", "own.d1", "own.d2").agg(
+        F.collect_set(F.struct("own.first", "body")).alias("again")
+    )
+    # the same columns as in the join above, so that one shuffle of the text serves both
+    joined = known.join(per_doc, ["known", "i", "d1", "d2"], "left")
+    equal = F.filter("again", lambda a: F.slice("lines", a["first"], min_lines) == a["body"])
+    starts = F.coalesce(F.transform(equal, lambda a: a["first"]), F.array().cast("array<int>"))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1))))
+    marked = joined.withColumn("starts", starts).withColumn("gone", gone)
+    runs = F.filter("gone", lambda g: ~F.array_contains("gone", g - 1))
+    kept = F.filter("lines", lambda _, at: ~F.array_contains("gone", at + 1))
+    return marked.select(
+        F.when(F.col("known"), F.col("i").cast(docs.schema[id_col].dataType)).alias(id_col),
+        F.size("lines").cast("long").alias("n_lines"), F.size(runs).cast("long").alias("n_removed_runs"),
+        F.size("gone").cast("long").alias("n_removed_lines"),
+        F.array_join(F.when(F.size("gone") == 0, F.col("lines")).otherwise(kept), "\n").alias(text_col),
+    )

@@ -110,6 +110,28 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.without_repeated_runs(documents(spark, sf))
+
+
+OP9_RUNS_SQL = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+single AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM split),
+pairs AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM single),
+repeated AS (
+  SELECT *, after IS NOT NULL AND row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS again FROM pairs
+), marked AS (
+  SELECT *, again OR coalesce(lag(again) OVER doc, false) AS gone FROM repeated WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+), begun AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER doc, false) AS begins FROM marked WINDOW doc AS (PARTITION BY doc_id ORDER BY i)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE begins) AS n_removed_runs,
+  count(*) FILTER (WHERE gone) AS n_removed_lines,
+  coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
+FROM begun GROUP BY doc_id
+"""
+
+
 def op10_feistel_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pseudonyms.pseudonymised(documents(spark, sf), key="pseudonym key of this corpus")
 
@@ -131,5 +153,6 @@ QUERIES = {
     "op7_budget_tree": (op7_budget_tree, None),
     "op8_deficit_packing": (op8_deficit_packing, None),
     "op9_line_chunks": (op9_line_chunks, OP9_SQL),
+    "op9_line_runs": (op9_line_runs, OP9_RUNS_SQL),
     "op10_feistel_pii": (op10_feistel_pii, None),
 }

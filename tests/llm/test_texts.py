@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tabloom.llm import parsing, pseudonyms, quality
-from tabloom.llm.lines import without_repeated_chunks
+from tabloom.llm.lines import without_repeated_chunks, without_repeated_runs
 
 SF = "/root/testdata/sf0.01"
 
@@ -156,6 +156,46 @@ def test_line_chunks(spark, odd_docs, odd_rows, no_docs):
     assert without_repeated_chunks(no_docs).count() == 0
 
 
+def runs_brute(rows):
+    """The lines to keep of each row: all but those in a pair of lines that occurs earlier."""
+    first = {}
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        for i, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            place = (doc_id is not None, doc_id or 0, text or "", i)
+            first[pair] = min(first.get(pair, place), place)
+    out = collections.Counter()
+    for doc_id, text in rows:
+        lines, gone = (text or "").split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if first[pair] != (doc_id is not None, doc_id or 0, text or "", i):
+                gone |= {i, i + 1}
+        runs = sum(i - 1 not in gone for i in gone)
+        out[doc_id, len(lines), runs, len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone)] += 1
+    return out
+
+
+def test_every_repeated_run_of_lines_goes(spark, odd_docs, odd_rows, no_docs):
+    draw = np.random.default_rng(11)
+    shared = [[f"passage {j} {x}" for x in range(size)] for j, size in enumerate([2, 2, 2, 3, 3, 4, 5, 9] * 5)]
+    rows, repeated = [], {}
+    for i in range(200):
+        before, after = ([f"{side} {i} {x}" for x in range(draw.integers(0, 5))] for side in ("before", "after"))
+        rows.append((i, "\n".join(before + shared[i % len(shared)] + after)))
+        repeated[i] = len(shared[i % len(shared)]) if i >= len(shared) else 0
+    got = without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["n_removed_lines"] for r in got} == repeated
+    assert collections.Counter(tuple(r) for r in got) == runs_brute(rows)
+    chunks = without_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_removed_lines"] for r in chunks) < 0.5 * sum(repeated.values())
+    dense = [(i, "\n".join(draw.choice(list("abc"), draw.integers(1, 12)))) for i in range(80)] + [(None, "a\nb\na"), (None, "a\nb\na"), (3, None)]
+    got = without_repeated_runs(spark.createDataFrame(dense, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter(tuple(r) for r in got) == runs_brute(dense)
+    odd = without_repeated_runs(odd_docs).collect()
+    assert collections.Counter((r[0], *r[1:]) for r in odd) == runs_brute([r[:2] for r in odd_rows])
+    assert without_repeated_runs(no_docs).count() == 0
+
+
 # --- pseudonyms ----------------------------------------------------------------------------------
 
 def luhn(digits):
