@@ -99,11 +99,9 @@ def normal_cdf(spark, sf):
 
 # --- sequential ---
 
-_SEQ = ["o_totalprice", "o_orderpriority", "text_sentiment", "text_text_length", "target"]
-
-
 def sequential_table(spark, sf):
-    return cut_lineage(aligned(spark, sf).select("o_orderkey", *_SEQ))
+    """All columns of the aligned table."""
+    return cut_lineage(aligned(spark, sf))
 
 
 def seq_rf(spark, sf):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -338,3 +339,30 @@ def test_comparison_is_ordered_and_checked(spark):
     assert [(r["benchmark"], r["method_label"]) for r in table.collect()] == [("Manual", "Ind."), ("Manual", "XGB")]
     with pytest.raises(ValueError, match="Manual: ctgan"):
         compare.require_complete(table)
+
+
+def test_registered_runs_are_the_published_ones(spark, monkeypatch):
+    import bench
+    from catalog import runs
+
+    seen = {}
+    monkeypatch.setattr(runs, "sequential_table", lambda *_: spark.range(1).withColumnRenamed("id", "o_orderkey"))
+    monkeypatch.setattr(sweep, "generators", lambda *args, **options: seen.update(generators=(args, options)) or {})
+    monkeypatch.setattr(sweep, "sweep", lambda datasets, methods, seeds, **options: seen.update(sweep=(list(seeds), options)))
+    monkeypatch.setattr(sweep, "ablation", lambda datasets, seeds, **options: seen.update(ablation=(list(seeds), options)))
+    monkeypatch.setattr(sweep, "tuning", lambda dataset, **options: seen.update(tuning=options))
+    for query in (runs.sweep, runs.ablation, runs.tuning):
+        query(spark, "")
+    assert seen == {
+        "generators": ((), {}), "sweep": ([42, 123, 2024], {}), "ablation": ([42, 123, 2024], {"settings": sweep.ABLATION}),
+        "tuning": {"settings": sweep.TUNING},
+    }
+    assert {"seq_rf", "seq_gbt"} <= set(bench.HEADLINE)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="test tables are not here")
+def test_sequential_table_has_all_aligned_columns(spark):
+    from catalog.inputs import aligned
+    from catalog.synthesis import sequential_table
+
+    assert sequential_table(spark, "/root/testdata/sf0.001").columns == aligned(spark, "/root/testdata/sf0.001").columns
