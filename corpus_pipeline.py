@@ -46,8 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the target mixture, once for each epoch in which they are read."""
     ship_package(spark)
-    chosen = mixing.mixed_documents(with_domain(docs), MIXTURE, budget=1.0, max_epochs=4)
-    return mixing.mixed_rows(docs, chosen)
+    named = with_domain(docs)
+    chosen = mixing.mixed_documents(named, MIXTURE, budget=1.0, max_epochs=4, with_key=True)
+    return mixing.mixed_rows(named, chosen).select(*[f"`{c}`" for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

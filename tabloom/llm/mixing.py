@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabloom.llm.storage import stored, whole_text
+from tabloom.llm.storage import stored, text_key, whole_text
 
 #: Bits of the shuffle hash that choose the slice of a leaf; one slice per leaf is ordered row by row.
 SLICE_BITS = 12
@@ -103,10 +103,12 @@ def _matches(names: list[str], other: str = "_p") -> Column:
 
 def mixed_documents(
     docs: DataFrame, tree: Tree, budget: int | float = 1.0, max_epochs: int = 4, seed: int = 42,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", with_key: bool = False,
 ) -> DataFrame:
     """(id, levels, epoch, tokens, tokens_taken, leaf_budget): which documents the mixture reads, epoch by epoch.
 
+    ``with_key`` adds two hashes of the text, ``k1`` and ``k2``, by which ``mixed_rows`` tells documents of one id apart.
+
     ``budget`` is a number of tokens, or as a float a multiple of the corpus. Weights flow from the root to the leaves;
     a leaf reads whole epochs as long as its budget lasts, at most ``max_epochs``, and of the last one the prefix of
     its own seeded shuffle: the document that crosses the budget is taken up to it.
@@ -125,6 +127,7 @@ def mixed_documents(
     rows = stored(docs.select(
         F.col(id_col).alias("_id"), *[F.col(c).cast("string").alias(n) for c, n in zip(levels, names, strict=True)],
         token_count(text).alias("_tokens"), F.xxhash64(text).alias("_tie"),
+        *([text_key(text)[1].alias("_tie2")] if with_key else []),
     ).where("_tokens > 0"), "mixing-tokens")
     sums = rows.groupBy(*names).agg(F.sum("_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(sums) > MAX_LEAVES:
@@ -149,26 +152,53 @@ def mixed_documents(
     )
     sliced = hashed.join(slices, _matches(names, "_q") & (F.col("_slice") == F.col("_at")), "left")
     out = [F.col("_id").alias(id_col), *[F.col(n).alias(c) for n, c in zip(names, levels, strict=True)]]
+    ties = [F.col("_tie").alias("k1"), F.col("_tie2").alias("k2")] if with_key else []
+    order_by = ["_hash", "_id", "_tie", *(["_tie2"] if with_key else [])]
     inside = F.coalesce(F.col("_ahead") + F.col("_own") <= F.col("_part"), F.lit(False)).cast("long")
     full = sliced.withColumn("_times", F.col("_whole") + inside).where("_times > 0").withColumn(
         "epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1))
-    ).select(*out, "epoch", F.col("_tokens").alias("tokens"), F.col("_tokens").alias("tokens_taken"), "leaf_budget")
-    order = Window.partitionBy(*names).orderBy("_hash", "_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    ).select(*out, "epoch", F.col("_tokens").alias("tokens"), F.col("_tokens").alias("tokens_taken"), "leaf_budget", *ties)
+    order = Window.partitionBy(*names).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
     cut = sliced.where("_ahead < _part AND _ahead + _own > _part").withColumn(
         "_before", F.col("_ahead") + F.coalesce(F.sum("_tokens").over(order), F.lit(0))
     )
     last = cut.where("_before < _part").select(
         *out, F.col("_whole").alias("epoch"), F.col("_tokens").alias("tokens"),
-        F.least("_tokens", F.col("_part") - F.col("_before")).alias("tokens_taken"), "leaf_budget",
+        F.least("_tokens", F.col("_part") - F.col("_before")).alias("tokens_taken"), "leaf_budget", *ties,
     )
     return full.unionByName(last)
 
 
 def mixed_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The chosen documents with all their columns, once per epoch; a document taken in part keeps its first tokens."""
-    picks = chosen.select(F.col(id_col).alias("_pick"), F.col("tokens").alias("_n"), F.col("tokens_taken").alias("_take"))
+    """The chosen documents with all their columns, once per epoch; a document taken in part keeps its first tokens.
+
+    A document is found by its id, the hashes of its text and those levels that ``docs`` has; a null id matches a null id.
+    Rows equal in all of these are copies: they are numbered, and each is taken as one of the picks of an epoch.
+    Picks made without ``with_key`` do not tell documents of one id apart and are refused where an id is repeated.
+    """
+    keyed = "k1" in chosen.columns
+    given = {id_col, "epoch", "tokens", "tokens_taken", "leaf_budget", "k1", "k2"}
+    levels = [c for c in chosen.columns if c not in given and c in docs.columns] if keyed else []
+    hashes = [h.alias(f"_h{i}") for i, h in enumerate(text_key(whole_text(text_col)))] if keyed else []
+    named = docs.select("*", F.col(id_col).alias("_own"), *hashes, *[
+        F.col(c).cast("string").alias(f"_w{i}") for i, c in enumerate(levels)
+    ])
+    own = ["_own", *(["_h0", "_h1"] if keyed else []), *[f"_w{i}" for i in range(len(levels))]]
+    picks = chosen.select(
+        F.col("epoch").alias("_epoch"), F.col("tokens").alias("_n"), F.col("tokens_taken").alias("_take"),
+        *[F.col(c).alias(f"_p{i}") for i, c in enumerate([id_col, *(["k1", "k2"] if keyed else []), *levels])],
+    )
+    same = _matches(own)
+    if not named.groupBy(*own).count().where("count > 1").isEmpty():
+        if not keyed:
+            raise ValueError("Ids are repeated: choose the documents with with_key=True.")
+        line = Window.partitionBy(*own).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != text_col])
+        named = named.withColumn("_copy", F.row_number().over(line))
+        turn = Window.partitionBy("_epoch", *[f"_p{i}" for i in range(len(own))]).orderBy(F.desc("_take"))
+        picks = picks.withColumn("_turn", F.row_number().over(turn))
+        same = same & (F.col("_copy") == F.col("_turn"))
     short = F.array_join(F.slice(F.split(F.col(text_col), r"(?<=\S)(?=\s)"), F.lit(1), F.col("_take").cast("int")), "")
     text = F.when(F.col("_take") < F.col("_n"), short).otherwise(F.col(text_col))
-    joined = docs.join(picks, F.col(id_col).eqNullSafe(F.col("_pick")))
+    joined = named.join(picks, same)
     cut = {text_col: text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return joined.select(*[cut[c].alias(c) if c in cut else F.col(f"`{c}`") for c in docs.columns])

@@ -132,6 +132,27 @@ def test_a_document_taken_in_part_keeps_its_first_tokens(spark):
     assert (row["text"], row["n_chars"]) == (" a  b\nc", 7)
 
 
+def test_mixture_of_repeated_and_null_ids(spark):
+    rows = [(None, " ".join([f"n{i}"] * (i % 7 + 1)), f"s{i % 2}") for i in range(60)]
+    rows += [(5, " ".join([f"five{i}"] * (i + 1)), "s0") for i in range(6)]
+    rows += [(6, "a copy of a row", "s0")] * 3 + [(6, "a copy of a row", "s1")] + [(i, f"own text {i}", "s1") for i in range(10, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for weights, budget in (({}, 1.0), ({("s0",): 0.8, ("s1",): 0.2}, 1.6)):
+        chosen = mixing.mixed_documents(docs, mixing.Tree(("source",), weights), budget, with_key=True)
+        taken = chosen.collect()
+        got = mixing.mixed_rows(docs, chosen).collect()
+        assert len(got) == len(taken)
+        left = collections.Counter((r["doc_id"], r["source"], r["tokens_taken"]) for r in taken)
+        assert collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in got) == left
+        whole = {(i, s, t) for i, t, s in rows}
+        cut = [r for r in got if (r["doc_id"], r["source"], r["text"]) not in whole]
+        assert len(cut) == sum(r["tokens_taken"] < r["tokens"] for r in taken)
+        assert budget != 1.0 or collections.Counter((r["doc_id"], r["text"], r["source"]) for r in got) == collections.Counter(rows)
+    plain = mixing.mixed_documents(docs, mixing.Tree(("source",)))
+    with pytest.raises(ValueError, match="with_key"):
+        mixing.mixed_rows(docs, plain)
+
+
 # --- packing -------------------------------------------------------------------------------------
 
 def tokenizer():
