@@ -17,7 +17,8 @@ from tabloom.llm.tokens import CHUNK_BYTES, mixed
 
 #: Names in a fingerprint: the smallest of the phrase names of the levels used.
 SKETCH = 64
-#: Phrases of these levels (about 8 and 25 bytes long) make a fingerprint; short texts add the first level.
+#: Phrases of these levels (about 8 and 25 bytes long) make the fingerprint of every text. Texts of fewer than ``_SHORT``
+#: phrases of the last one keep a sketch of the first level (about 3 bytes) beside it, for comparison among themselves.
 LEVELS = (2, 3)
 _SHORT = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -91,8 +92,13 @@ def phrase_levels(texts: list[bytes], levels: int) -> list[tuple[np.ndarray, np.
     return out
 
 
-def sketches(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the ``SKETCH`` smallest distinct phrase names, cut to 32 bits, in ascending order."""
+def _smallest(names: np.ndarray) -> np.ndarray:
+    return np.unique((names >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+
+
+def sketches(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """For each text the ``SKETCH`` smallest distinct phrase names, cut to 32 bits, in ascending order: those of
+    ``LEVELS``, and for a short text those of the first level, else None."""
     out, low = [], 0
     while low < len(texts):
         high, size = low, 0
@@ -101,27 +107,32 @@ def sketches(texts: list[bytes]) -> list[np.ndarray]:
             high += 1
         levels = phrase_levels(texts[low:high], max(LEVELS))
         for i in range(high - low):
-            parts = [levels[k - 1][0][levels[k - 1][1][i] : levels[k - 1][1][i + 1]] for k in LEVELS]
-            if len(parts[-1]) < _SHORT:
-                parts.append(levels[0][0][levels[0][1][i] : levels[0][1][i + 1]])
-            out.append(np.unique((np.concatenate(parts) >> np.uint64(32)).astype(np.uint32))[:SKETCH])
+            own = [names[bounds[i] : bounds[i + 1]] for names, bounds in levels]
+            fine = _smallest(own[0]) if len(own[max(LEVELS) - 1]) < _SHORT else None
+            out.append((_smallest(np.concatenate([own[k - 1] for k in LEVELS])), fine))
         low = high
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common phrases from two sketches: 1 for equal, 0 for one empty."""
+def likeness(one: tuple[np.ndarray, np.ndarray | None], other: tuple[np.ndarray, np.ndarray | None]) -> float:
+    """Estimated share of common phrases from two sketches: 1 for equal, 0 for one empty.
+
+    The levels are the same on both sides: the first counts only where both have it.
+    """
+    (a, a_fine), (b, b_fine) = one, other
+    if a_fine is not None and b_fine is not None:
+        a, b = np.union1d(a, a_fine)[:SKETCH], np.union1d(b, b_fine)[:SKETCH]
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.union1d(a, b)[:SKETCH]
     return float(np.isin(both, a, assume_unique=True) @ np.isin(both, b, assume_unique=True).astype(float)) / len(both)
 
 
-def _hex(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+def _hex(sketch: np.ndarray | None) -> str | None:
+    return None if sketch is None else sketch.astype(">u4").tobytes().hex()
 
 
-_OUT = "key bigint, is_null boolean, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "key bigint, is_null boolean, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fine string, edited_fine string"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,17 +157,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "key": pa.array([p[0][1] for p in pairs], pa.int64()), "is_null": [p[0][2] for p in pairs],
             "n_chars": pa.array([len(p[0][3]) for p in pairs], pa.int64()),
             "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-            "fingerprint": [_hex(p[0][4]) for p in pairs], "edited_fingerprint": [_hex(s) for s in edited_sketches],
+            "fingerprint": [_hex(p[0][4][0]) for p in pairs], "edited_fingerprint": [_hex(s[0]) for s in edited_sketches],
             "near_edited": [likeness(p[0][4], s) for p, s in zip(pairs, edited_sketches, strict=True)],
             "near_next": [likeness(p[0][4], p[2]) for p in pairs],
+            "fine": pa.array([_hex(p[0][4][1]) for p in pairs], pa.string()),
+            "edited_fine": pa.array([_hex(s[1]) for s in edited_sketches], pa.string()),
         })
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text and of its edited text, which ends in the beginning of the next document.
 
-    (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). A fingerprint holds the
-    smallest phrase names in hexadecimal; likeness is the share of common ones.
+    (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, fine, edited_fine). A fingerprint
+    holds the smallest phrase names of the same levels for every text, in hexadecimal; likeness is the share of common
+    ones. ``fine`` holds those of the first level for short texts and is null for others; it counts where both sides have it.
 
     Documents are dealt into ranges of the id once; the first text of a range also goes to the end of the range before,
     so a range needs no other. Only range bounds reach the driver, a few numbers per shuffle partition. Ids are
@@ -202,5 +216,5 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = placed.sortWithinPartitions("bucket", "tail", "key", "text").mapInArrow(_neighbours, _OUT)
     return out.select(
         F.when(~F.col("is_null"), F.col("key")).alias(id_col), "n_chars", "edited_sha256", "fingerprint",
-        "edited_fingerprint", "near_edited", "near_next",
+        "edited_fingerprint", "near_edited", "near_next", "fine", "edited_fine",
     )

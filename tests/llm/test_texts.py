@@ -116,6 +116,28 @@ def test_fingerprints(spark, odd_docs, odd_rows, no_docs):
     assert one["near_next"] == 1.0
 
 
+def test_near_copies_of_short_texts(spark):
+    draw = np.random.default_rng(12)
+    words = [f"{draw.choice(list('bcdfg'))}{draw.choice(list('aeiou'))}{x}" for x in range(2_000)]
+    alike, across, seen = [], [], set()
+    for _ in range(400):
+        text = " ".join(draw.choice(words, 60))[: draw.integers(100, 300)].encode()
+        pair = parsing.sketches([text, text + b" and more"])
+        phrases = [len(names) for names, _ in parsing.phrase_levels([text], 3)] + [
+            len(names) for names, _ in parsing.phrase_levels([text + b" and more"], 3)
+        ]
+        alike.append(parsing.likeness(*pair))
+        assert alike[-1] == parsing.likeness(*reversed(pair))
+        seen.add(phrases[2] >= 8)
+        if phrases[2] < 8 <= phrases[5]:
+            across.append(alike[-1])
+    assert seen == {False, True} and len(across) >= 5
+    assert min(across) > 0.6 and min(alike) > 0.5
+    docs = [(2 * i, text) for i, text in enumerate(["short text of a few words only, here", "a longer text " + " ".join(words[:200])])]
+    got = {r["doc_id"]: r for r in parsing.fingerprinted(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0]["fine"] and got[2]["fine"] is None
+
+
 # --- line chunks ---------------------------------------------------------------------------------
 
 def chunks_brute(rows, divisor=4, min_lines=2):
