@@ -39,15 +39,21 @@ class Encoder:
 
     A plain byte-level BPE whose ids follow the order of its merges has the same ids in ``tiktoken``, which is several
     times faster; its ranks are read from the same file. Any other file is used through ``tokenizers`` itself.
+
+    With ``added`` a text gets the ids that ``tokenizers`` gives by default with ``add_special_tokens=False``, where an added
+    token such as <|endoftext|> that stands in the text is one id; texts that hold one go through ``tokenizers``.
+    Without it they are cut like any other characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32
-        self.fast = self._fast(json.loads(self.tokenizer.to_str()))
+        file = json.loads(self.tokenizer.to_str())
+        self.fast = self._fast(file)
+        self.added = [t["content"] for t in file["added_tokens"] if t["content"]] if added else []
 
     @staticmethod
     def _fast(file: dict):
@@ -68,10 +74,15 @@ class Encoder:
         return tiktoken.Encoding("from file", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.fast:
-            return [self.fast.encode_to_numpy(t, disallowed_special=()).astype(self.kind).tobytes() for t in texts]
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in found]
+        if self.fast and not self.added:
+            return [self._quick(t) for t in texts]
+        slow = [i for i, t in enumerate(texts) if not self.fast or any(a in t for a in self.added)]
+        found = self.tokenizer.encode_batch([texts[i] for i in slow], add_special_tokens=False) if slow else []
+        done = {i: np.array(x.ids, self.kind).tobytes() for i, x in zip(slow, found, strict=True)}
+        return [done[i] if i in done else self._quick(t) for i, t in enumerate(texts)]
+
+    def _quick(self, text: str) -> bytes:
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind).tobytes()
 
 
 def _encoder(path: str) -> Encoder:
@@ -79,7 +90,7 @@ def _encoder(path: str) -> Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _WORKER[path] = Encoder(path)
+        _WORKER[path] = Encoder(path, added=True)
     return _WORKER[path]
 
 

@@ -55,6 +55,18 @@ def test_shards(spark, odd_docs, odd_rows, no_docs, tmp_path):
     assert sharding.shard_documents(no_docs, 24, str(tmp_path / "none")).count() == 0
 
 
+def test_only_the_hot_text_of_a_slot_is_spread(spark, tmp_path):
+    source = [(i, "hot text " * 20 if i % 3 == 0 else f"text {i % 60}") for i in range(3_000)]
+    docs = spark.createDataFrame(source, "doc_id long, text string").repartition(4)
+    rows = sharding.shard_documents(docs, 24, str(tmp_path / "maps"), n_slots=16).collect()
+    check_shards(rows, source)
+    shards = collections.defaultdict(set)
+    for r in rows:
+        shards[source[r["doc_id"]][1]].add(r["shard"])
+    assert len(shards.pop("hot text " * 20)) > 8
+    assert all(len(s) == 1 for s in shards.values())
+
+
 def test_map_versions_and_rebalancing(spark, tmp_path):
     source = [(i, "y" * (i % 700)) for i in range(4_000)]
     docs = spark.createDataFrame(source, "doc_id long, text string")
@@ -205,6 +217,20 @@ def test_pieces_of_a_text_have_the_ids_of_the_whole():
         assert np.frombuffer(ids, encoder.kind).tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_an_added_token_in_a_text_has_its_own_id(spark):
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|>", "one<|endoftext|> two\n<|endoftext|><|endoftext|>", "no such token", "<|endoftext", ""]
+    expected = [default.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(expected[0]) == 1
+    found = packing.Encoder(tokenizer_path(), added=True).encode(texts)
+    assert [np.frombuffer(x, np.uint16).tolist() for x in found] == expected
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in packing.packed(docs, tokenizer_path()).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in enumerate(expected)}
+
+
 def test_packing(spark, odd_docs, odd_rows, no_docs):
     draw = np.random.default_rng(3)
     source = {i: [" ".join(f"w{x}" for x in draw.integers(0, 99, draw.integers(0, 60)))] for i in range(500)}
