@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabloom.llm.storage import whole_text
+from tabloom.llm.storage import text_key, whole_text
 
 N_SLOTS = 4096
 _MAP_SCHEMA = T.StructType([
@@ -90,23 +90,31 @@ def read_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
 def with_slots(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """(id, size, text_crc32, virtual_slot) per row.
 
-    Rows of equal text share a slot, and so a shard. A slot heavier than half a shard's share (one text in very many
-    copies) is split: its rows are hashed by id into a second range of as many slots.
+    Rows of equal text share a slot, and so a shard. Only a text whose copies together are heavier than half a shard's
+    share is split: its rows are hashed by id into a second range of as many slots. Such texts are sought in the slots
+    above that weight; at most twice as many as there are shards reach the driver. Other texts of these slots stay.
     """
     text = whole_text(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), record_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(n_slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64(text), F.lit(n_slots)).cast("int").alias("virtual_slot"), *text_key(text),
     )
     totals = slot_totals(rows)
     most = sum(size for size, _ in totals.values()) / (2 * n_shards)
     heavy = sorted(slot for slot, (size, n) in totals.items() if size > most and n > 1)
-    if not heavy:
-        return rows
+    copies = rows.where(F.col("virtual_slot").isin(heavy)).groupBy("k1", "k2").agg(
+        F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")
+    ).where((F.col("b") > most) & (F.col("n") > 1)) if heavy else None
+    hot = [(r["k1"], r["k2"]) for r in copies.collect()] if heavy else []
+    if not hot:
+        return rows.drop("k1", "k2")
+    is_hot = F.lit(False)
+    for k1, k2 in hot:
+        is_hot = is_hot | ((F.col("k1") == k1) & (F.col("k2") == k2))
     spread = F.lit(n_slots) + F.pmod(F.xxhash64("doc_id", F.lit("spread")), F.lit(n_slots)).cast("int")
     return rows.withColumn(
-        "virtual_slot", F.when(F.col("virtual_slot").isin(heavy), spread).otherwise(F.col("virtual_slot"))
-    )
+        "virtual_slot", F.when(is_hot, spread).otherwise(F.col("virtual_slot"))
+    ).drop("k1", "k2")
 
 
 def shard_documents(
