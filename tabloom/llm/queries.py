@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import exact, lines, mixing, near, packing, parsing, pseudonyms, quality, sharding, suffixes
+from tabloom.llm import (
+    collocations, credentials, exact, lines, mixing, near, packing, parsing, pseudonyms, quality, sharding, suffixes, whitening,
+)
 from tabloom.llm.storage import shared_folder, ship_package
 
 
@@ -136,6 +138,108 @@ def op10_feistel_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pseudonyms.pseudonymised(documents(spark, sf), key="pseudonym key of this corpus")
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    rows = whitening.whitened(spark.read.parquet(f"{sf}/embeddings.parquet"), components=4, scale=256)
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_prefix_free_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf), collocations.PhraseSpec(longest=5, least=100, top=2000))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM worded GROUP BY lang
+), placed AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded WHERE len(w) > 0
+), grams AS (
+  SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS m FROM placed
+), counts AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), phrases AS (
+  SELECT *, string_split(phrase, ' ') AS parts FROM counts WHERE m > 1
+), cuts AS (
+  SELECT *, unnest(range(1, m)) AS k FROM phrases
+), sided AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, n, (1000 * c.a * n) // (x.a * y.a) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.parts[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.parts[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM sided QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), spans AS (
+  SELECT lang, a, parts, m, unnest(range(2, m)) AS size FROM phrases
+), inner_spans AS (
+  SELECT lang, a, parts, size, unnest(range(1, m - size + 2)) AS s FROM spans
+), longer AS (
+  SELECT lang, array_to_string(parts[s:s + size - 1], ' ') AS phrase, max(a) AS longer FROM inner_spans GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+  CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+def op13_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = credentials.secret_spans(documents(spark, sf))
+    base = F.filter("spans", lambda s: s["kind"].isin(*credentials.BASE))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(credentials.written(base), 256).alias("base_sha256"),
+        credentials.written(F.col("spans")).alias("spans"), "n_linked",
+    )
+
+
+OP13_SQL = r"""
+WITH kinds(place, kind, pattern) AS (VALUES
+  (1, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (2, 'access', 'AKIA[A-Z0-9]+'), (3, 'hex', '[0-9a-f]+'),
+  (4, 'ident', '([Uu][Ss][Ee][Rr]([Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]|([Cc][Ll][Ii][Ee][Nn][Tt]|[Kk][Ee][Yy])_?[Ii][Dd])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@+-]{3,}'),
+  (5, 'secret', '[A-Za-z0-9+/_=-]{20,}'),
+  (6, 'endpoint', '[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x00-\x20"''<>]+|([Hh][Oo][Ss][Tt]|[Ee][Nn][Dd][Pp][Oo][Ii][Nn][Tt]|[Ss][Ee][Rr][Vv][Ee][Rr])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._:/-]{3,}')
+), docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT row, place, kind, unnest(regexp_split_to_array(text, pattern)) AS piece, unnest(regexp_extract_all(text, pattern)) AS m,
+    unnest(range(1, len(regexp_split_to_array(text, pattern)) + 1)) AS i
+  FROM docs, kinds WHERE regexp_matches(text, pattern)
+), placed AS (
+  SELECT row, place, kind, m, sum(length(piece) + length(m)) OVER (PARTITION BY row, place ORDER BY i) AS stop FROM cut WHERE m IS NOT NULL
+), parts AS (
+  SELECT row, place, kind, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(m, '["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8
+    WHEN 'access' THEN length(m) >= 16 WHEN 'hex' THEN length(m) >= 32
+    WHEN 'secret' THEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]') ELSE true END
+), usable AS (
+  SELECT * FROM parts p WHERE place <= 3 OR NOT EXISTS (
+    SELECT 1 FROM parts b WHERE b.row = p.row AND b.place <= 3 AND b.start < p.stop AND p.start < b.stop)
+), pairs AS (
+  SELECT x.row, x.place AS id_place, x.kind AS id_kind, x.start AS id_start, x.stop AS id_stop, y.place, y.kind, y.start, y.stop
+  FROM usable x JOIN usable y ON x.row = y.row AND x.kind IN ('access', 'ident') AND y.kind IN ('assign', 'hex', 'secret', 'endpoint')
+    AND y.start <= x.stop + 200 AND x.start <= y.stop + 200 AND (y.start >= x.stop OR x.start >= y.stop)
+), complete AS (
+  SELECT * FROM pairs QUALIFY bool_or(kind <> 'endpoint') OVER (PARTITION BY row, id_place, id_start)
+), linked AS (
+  SELECT row, id_place AS place, id_kind AS kind, id_start AS start, id_stop AS stop FROM complete WHERE id_kind = 'ident'
+  UNION SELECT row, place, kind, start, stop FROM complete WHERE kind IN ('secret', 'endpoint')
+), base AS (
+  SELECT row, count(*) FILTER (WHERE place = 1) AS n_assign, count(*) FILTER (WHERE place = 2) AS n_access, count(*) FILTER (WHERE place = 3) AS n_hex,
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) AS spans FROM parts WHERE place <= 3 GROUP BY row
+), whole AS (
+  SELECT row, string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place) AS spans, count(*) FILTER (WHERE place > 3) AS n_linked
+  FROM (SELECT row, place, kind, start, stop FROM parts WHERE place <= 3 UNION ALL SELECT row, place, kind, start, stop FROM linked) GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(w.spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM docs LEFT JOIN base b USING (row) LEFT JOIN whole w USING (row)
+"""
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -155,4 +259,7 @@ QUERIES = {
     "op9_line_chunks": (op9_line_chunks, OP9_SQL),
     "op9_line_runs": (op9_line_runs, OP9_RUNS_SQL),
     "op10_feistel_pii": (op10_feistel_pii, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_prefix_free_phrases": (op12_prefix_free_phrases, OP12_SQL),
+    "op13_linked_secrets": (op13_linked_secrets, OP13_SQL),
 }
