@@ -182,3 +182,49 @@ def test_passages_of_odd_rows(odd_docs, odd_rows, no_docs):
     got = collections.Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in without_repeats(odd_docs).collect())
     assert got == passages_brute([r[:2] for r in odd_rows], 200)
     assert without_repeats(no_docs).count() == 0
+
+
+def test_near_copies_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(near, "FAMILY_BLOCK", 20)
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    base = draw.choices(words, k=120)
+    texts = []
+    for _ in range(300):
+        text = list(base)
+        text[draw.randrange(len(text))] = draw.choice(words)
+        texts.append(" ".join(text))
+    rows = [(None, t) for t in texts] + [(None, texts[0])] * 200 + [(7, "quite another text of a few words more")] + [(None, None)] * 3
+    docs = frame(spark, rows).selectExpr("*", "1 AS k1", "2 AS cid", "3 AS label")
+    got = near_groups(docs, with_key=True).collect()
+    assert len(got) == len(rows)
+    kept = [r for r in got if r["kept"] and r["doc_id"] is None and r["n_shingles"]]
+    assert len({(r["k1"], r["k2"]) for r in kept}) == 1
+    left = near.near_kept(docs).collect()
+    assert len({r["text"] for r in left if r["doc_id"] is None and r["text"]}) == 1
+    assert left[0].__fields__ == docs.columns
+
+
+@pytest.mark.parametrize("blocks", [(8, 7), (10**6, 10**6), (2, 3)])
+def test_large_families_lose_no_link(spark, monkeypatch, blocks):
+    monkeypatch.setattr(near, "KEY_BLOCK", blocks[0])
+    monkeypatch.setattr(near, "FAMILY_BLOCK", blocks[1])
+    draw = random.Random(blocks[1])
+    words = [f"w{i}" for i in range(3_000)]
+    text, rows = draw.choices(words, k=150), []
+    for i in range(120):  # a chain: only neighbours are linked, and ids are mixed
+        rows.append(((i * 37) % 120, " ".join(text)))
+        for _ in range(draw.choice([1, 2, 4])):
+            text[draw.randrange(len(text))] = draw.choice(words)
+    spec = NearSpec(k=3, num=85, den=100)
+    got = {r[0]: tuple(r[1:]) for r in near_groups(frame(spark, rows), spec).collect()}
+    assert got == brute_components(rows, spec)
+
+
+def test_links_of_a_task_are_contracted():
+    forest = near._Forest()
+    for i in range(100):
+        for j in range(i):
+            forest.join(b"%03d" % i, b"%03d" % j)
+    (batch,) = forest.links()
+    assert batch.num_rows == 99 and set(batch.column("b").to_pylist()) == {b"000"}
