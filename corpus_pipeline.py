@@ -12,12 +12,6 @@ from tabloom.llm.queries import MIXTURE, tokenizer_path, with_domain
 from tabloom.llm.storage import shared_folder, ship_package, stored, whole_text
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ``ids``; a null id matches a null id."""
-    keys = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it is fitted on labels that are not held out."""
     ship_package(spark)
@@ -40,7 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near duplicates (five words, similarity 0.8): that with the smallest id."""
     ship_package(spark)
-    return _of_ids(docs, near.near_groups(docs, near.NearSpec(k=5, num=80, den=100)).where("kept"))
+    return near.near_kept(docs, near.NearSpec(k=5, num=80, den=100))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
