@@ -49,7 +49,7 @@ def require_rows(df: DataFrame, what: str = "Input") -> None:
 
 def require_same_columns(left: DataFrame, right: DataFrame) -> None:
     if left.columns != right.columns:
-        raise ValueError(f"Columns differ: {left.columns} on the real side, {right.columns} on the synthetic one.")
+        raise ValueError(f"Both sides need identical columns; real: {left.columns}, synthetic: {right.columns}")
 
 
 def reject_values(df: DataFrame, column: str, bad: Column, message: str, shown: int = 20) -> None:
@@ -204,8 +204,8 @@ def target_classes(df: DataFrame, target_col: str = "target", both: bool = True)
         F.bool_or(y == 1.0).alias("one"),
     ).first()
     if row["valid"] is False:
-        raise ValueError(f"'{target_col}' has values other than 0 and 1.")
+        raise ValueError(f"'{target_col}' must lie within 0 and 1.")
     classes = [c for c, seen in ((0, row["zero"]), (1, row["one"])) if seen]
     if both and classes != [0, 1]:
-        raise ValueError(f"'{target_col}' lacks a class; present: {classes}")
+        raise ValueError(f"'{target_col}' must hold both classes; present: {classes}")
     return classes

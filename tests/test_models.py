@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import importlib
 import math
 import random
 from pathlib import Path
@@ -366,3 +367,71 @@ def test_sequential_table_has_all_aligned_columns(spark):
     from catalog.synthesis import sequential_table
 
     assert sequential_table(spark, "/root/testdata/sf0.001").columns == aligned(spark, "/root/testdata/sf0.001").columns
+
+
+# --- stored fits and the run log ---
+
+sequential_module = importlib.import_module("tabloom.operators.synthesis.sequential")
+
+def test_dates_are_generated_as_numbers(spark):
+    df = spark.range(400).select(
+        "id", F.expr("date_add(DATE'2001-03-01', cast(id % 37 as int))").alias("day"),
+        F.expr("timestamp_seconds(1000000 + id * 977)").alias("at"), F.expr("if(id % 5 = 0, null, date'2000-01-01')").alias("gap"),
+        F.expr("cast(timestamp_seconds(id * 3600) as timestamp_ntz)").alias("local"), (F.col("id") % 2).cast("int").alias("target"),
+    )
+    fit = sequential_module.fit_sequential(df, ["id"], settings=TreeSettings("rf", trees=3, depth=3))
+    assert fit.types == {"day": "numeric", "at": "numeric", "gap": "categorical", "local": "numeric", "target": "categorical"}
+    out = fit.generate(500, 5)
+    assert out.drop("row_id").dtypes == df.drop("id").dtypes
+    got = out.agg(
+        F.count("day").alias("days"), F.count("at").alias("ats"), F.count_if(F.col("gap").isNull()).alias("gaps"),
+        F.min("day").cast("string").alias("low"), F.max("day").cast("string").alias("high"),
+    ).first()
+    assert (got["days"], got["ats"]) == (500, 500) and 40 < got["gaps"] < 180
+    assert got["low"] >= "2001-01-01" and got["high"] <= "2001-06-01"
+
+
+@pytest.mark.parametrize("learner", ["rf", "gbt"])
+def test_a_stored_fit_generates_the_same_rows(spark, real, tmp_path, learner):
+    settings, real = TreeSettings(learner, trees=3, rounds=2, depth=2), real.select("id", "x", "group", "target")
+    fit = sequential_module.fit_sequential(real, ["id"], 3, settings=settings)
+    fit.save(str(tmp_path / "fit"))
+    loaded = sequential_module.load_fit(spark, str(tmp_path / "fit"))
+    for seed in (3, 4):
+        assert loaded.generate(200, seed).collect() == fit.generate(200, seed).collect()
+    assert fit.generate(200, 3).collect() == sequential(real, ["id"], 200, 3, settings=settings).collect()
+    assert fit.generate(200, 3).collect() != fit.generate(200, 4).collect()
+
+
+def test_a_sweep_goes_on_where_it_stopped(spark, real, tmp_path, monkeypatch):
+    dataset = {"d": sweep.Dataset(real.select("id", "x", "group", "target"), ["id"])}
+    trees = sweep.TreeGenerator(TreeSettings("gbt", rounds=1, depth=2), 300)
+    fits = []
+    monkeypatch.setattr(sweep.TreeGenerator, "fit", lambda self, d, s, own=sweep.TreeGenerator.fit: fits.append(s) or own(self, d, s))
+    methods = {"independent": sweep.generators()["independent"], "xgboost": trees}
+    log = str(tmp_path / "log")
+    whole = sweep.sweep(dataset, methods, [1, 2], 200)
+    assert fits == [1]
+
+    finish, done = sweep.RunLog.finish, []
+
+    def ended(self, *args):
+        if len(done) == 2:
+            raise RuntimeError("ended")
+        finish(self, *args)
+        done.append(args[-2:])
+
+    monkeypatch.setattr(sweep.RunLog, "finish", ended)
+    with pytest.raises(RuntimeError, match="ended"):
+        sweep.sweep(dataset, methods, [1, 2], 200, log=log, parallel=1)
+    assert len(done) == 2
+    again = []
+    monkeypatch.setattr(sweep.RunLog, "finish", lambda self, *args: again.append(args[-2:]) or finish(self, *args))
+    results = sweep.sweep(dataset, methods, [1, 2], 200, log=log, parallel=1)
+    assert len(again) == 2 and not set(again) & set(done)
+    rounded = [[tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()] for df in (results, whole)]
+    assert sorted(rounded[0]) == sorted(rounded[1])
+    assert fits == [1, 1]  # the logged sweep made one fit of its own and kept it
+    assert spark.read.parquet(f"{log}/runs/d/xgboost/2/utility").count() == 3
+    assert spark.read.parquet(f"{log}/runs/d/xgboost/2/synthetic").count() == 200
+    assert spark.read.parquet(f"{log}/runs/d/xgboost/2/fidelity").count() > 0
