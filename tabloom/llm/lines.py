@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.storage import whole_text
@@ -13,6 +13,15 @@ _PRIME = 65_521
 _MISSING = -(2**62)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A column that only the body of a loop names would else be computed again for every element, once the projection that
+    made it is folded into the one that uses it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _line_hash(line):
     """Seven hexadecimal digits of the MD5 of a line, as a number SQL can repeat."""
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
@@ -34,10 +43,9 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", div
         F.concat(F.array(F.lit(0).cast("long")), F.slice("h", 1, F.size("h") - 1)), "h",
         lambda before, own: (before % _PRIME * 251 + own % _PRIME) % _PRIME % divisor,
     )
-    ends = F.filter(
-        F.sequence(F.lit(1), F.size("lines")),
-        lambda i: (i == F.size("lines")) | (F.get("rolled", i - 1) == 0),
-    )
+    ends = _let(F.col("rolled"), lambda r: F.filter(
+        F.sequence(F.lit(1), F.size(r)), lambda i: (i == F.size(r)) | (F.get(r, i - 1) == 0)
+    ))
     marked = hashed.select("doc_id", "d1", "d2", "lines", rolled.alias("rolled")).select(
         "doc_id", "d1", "d2", "lines", ends.alias("ends")
     )
@@ -51,17 +59,21 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", div
 
 
 def repeated_chunks(chunks: DataFrame, min_lines: int) -> DataFrame:
-    """(doc_id, d1, d2, first): the chunks to remove, which are all but the first place of each repeated chunk.
+    """(doc_id, d1, d2, first, size): the chunks to remove, which are all but the first place of each repeated chunk.
 
     Hashes are counted first; only chunks whose hash occurs again move with their text, and the owner's text is then
     compared with theirs byte by byte.
     """
-    # a chunk of fewer lines is never removed, so it needs no text
-    places = chunks.select(
-        "doc_id", "d1", "d2", F.explode(F.filter("chunks", lambda c: c["size"] >= min_lines)).alias("c"), "lines"
-    ).select(
-        "doc_id", "d1", "d2", "c.first", F.array_join(F.slice("lines", F.col("c.first"), F.col("c.size")), "\n").alias("body"),
-    ).select("*", F.xxhash64("body").alias("b1"), F.xxhash64(F.lit(7), "body").alias("b2"))
+    # bodies are made inside the row, so that no exploded row carries the whole text; shorter chunks are never removed
+    bodies = _let(F.col("lines"), lambda lines: F.transform(
+        F.filter("chunks", lambda c: c["size"] >= min_lines), lambda c: F.struct(
+            c["first"].alias("first"), c["size"].alias("size"),
+            F.array_join(F.slice(lines, c["first"], c["size"]), "\n").alias("body"),
+        ),
+    ))
+    places = chunks.select("doc_id", "d1", "d2", F.explode(bodies).alias("c")).select("doc_id", "d1", "d2", "c.*").select(
+        "*", F.xxhash64("body").alias("b1"), F.xxhash64(F.lit(7), "body").alias("b2")
+    )
     again = places.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b1", "b2")
     candidates = places.join(again, ["b1", "b2"], "left_semi")
     sorted_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING))
@@ -70,7 +82,17 @@ def repeated_chunks(chunks: DataFrame, min_lines: int) -> DataFrame:
     ).where("n > 1").select("b1", "b2", F.col("body").alias("owner_body"), "owner")
     found = candidates.join(owners, ["b1", "b2"]).where(F.col("body") == F.col("owner_body"))
     is_owner = F.struct(sorted_id.alias("i"), "d1", "d2", "first") == F.col("owner")
-    return found.where(~is_owner).select("doc_id", "d1", "d2", "first")
+    return found.where(~is_owner).select("doc_id", "d1", "d2", "first", "size")
+
+
+def lines_between(lines: str, firsts, ends) -> Column:
+    """The lines outside of intervals from ``firsts`` up to before ``ends``, two sorted arrays of line numbers from 1."""
+    def outside(all_lines: Column) -> Column:
+        begin = F.concat(F.array(F.lit(1)), ends)
+        stop = F.concat(firsts, F.array(F.size(all_lines) + 1))
+        return F.flatten(F.zip_with(begin, stop, lambda a, b: F.slice(all_lines, a, F.greatest(b - a, F.lit(0)))))
+
+    return _let(F.col(lines), outside)
 
 
 def without_repeated_chunks(
@@ -87,22 +109,23 @@ def without_repeated_chunks(
     """
     chunks = chunked(docs, id_col, text_col, divisor)
     removed = repeated_chunks(chunks, min_lines)
-    per_doc = removed.groupBy("doc_id", "d1", "d2").agg(F.collect_set("first").alias("gone")).select(
-        F.col("doc_id").alias("gone_id"), F.col("d1").alias("gone_1"), F.col("d2").alias("gone_2"), "gone"
+    per_doc = removed.groupBy("doc_id", "d1", "d2").agg(F.collect_set(F.struct("first", "size")).alias("gone")).select(
+        F.col("doc_id").alias("gone_id"), F.col("d1").alias("gone_1"), F.col("d2").alias("gone_2"), F.sort_array("gone").alias("gone")
     )
     same = (
         (F.col("d1") == F.col("gone_1")) & (F.col("d2") == F.col("gone_2"))
         & F.col("doc_id").eqNullSafe(F.col("gone_id"))
     )
-    joined = chunks.join(per_doc, same, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    lost = F.filter("chunks", lambda c: F.array_contains("gone", c["first"]))
-    kept = F.filter("chunks", lambda c: ~F.array_contains("gone", c["first"]))
-    text = F.array_join(F.transform(kept, lambda c: F.array_join(F.slice("lines", c["first"], c["size"]), "\n")), "\n")
+    joined = chunks.join(per_doc, same, "left").withColumn(
+        "gone", F.coalesce("gone", F.array().cast("array<struct<first:int,size:int>>"))
+    )
+    firsts, ends = F.transform("gone", lambda g: g["first"]), F.transform("gone", lambda g: g["first"] + g["size"])
+    kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(lines_between("lines", firsts, ends))
     return joined.select(
         F.col("doc_id").alias(id_col), F.size("lines").cast("long").alias("n_lines"),
-        F.size("chunks").cast("long").alias("n_chunks"), F.size(lost).cast("long").alias("n_removed_chunks"),
-        F.aggregate(lost, F.lit(0).cast("long"), lambda n, c: n + c["size"]).alias("n_removed_lines"),
-        F.when(F.size("gone") == 0, F.array_join("lines", "\n")).otherwise(text).alias(text_col),
+        F.size("chunks").cast("long").alias("n_chunks"), F.size("gone").cast("long").alias("n_removed_chunks"),
+        F.aggregate("gone", F.lit(0).cast("long"), lambda n, c: n + c["size"]).alias("n_removed_lines"),
+        F.array_join(kept, "\n").alias(text_col),
     )
 
 
@@ -116,16 +139,22 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int) ->
         F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(7), text).alias("d2"),
         F.split(text, "\n", -1).alias("lines"),
     )
-    starts = F.when(
-        F.size("lines") >= min_lines, F.sequence(F.lit(1), F.size("lines") - min_lines + 1)
-    ).otherwise(F.array().cast("array<int>"))
     hashes = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
-    windows = rows.select("doc_id", "d1", "d2", hashes.alias("h"), F.explode(starts).alias("first"))
-    parts = [F.get("h", F.col("first") - 1 + k) for k in range(min_lines)]
-    return rows, windows.select(
-        "doc_id", "d1", "d2", "first", F.xxhash64(*[p["a"] for p in parts]).alias("b1"),
-        F.xxhash64(F.lit(7), *[p["b"] for p in parts]).alias("b2"),
-    )
+    def all_windows(h: Column) -> Column:
+        def window(i: Column) -> Column:
+            parts = [F.get(h, i - 1 + k) for k in range(min_lines)]
+            return F.struct(
+                i.alias("first"), F.xxhash64(*[p["a"] for p in parts]).alias("b1"),
+                F.xxhash64(F.lit(7), *[p["b"] for p in parts]).alias("b2"),
+            )
+
+        starts = F.when(
+            F.size(h) >= min_lines, F.sequence(F.lit(1), F.size(h) - min_lines + 1)
+        ).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, window)
+
+    windows = rows.select("doc_id", "d1", "d2", F.explode(_let(hashes, all_windows)).alias("w"))
+    return rows, windows.select("doc_id", "d1", "d2", "w.*")
 
 
 def without_repeated_runs(
@@ -153,11 +182,12 @@ def without_repeated_runs(
         F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("i"),
         "d1", "d2", "lines",
     )
-    bodies = known.join(owned, ["known", "i", "d1", "d2"]).select(
-        "known", "i", "d1", "d2", "lines", F.explode("w").alias("w")
-    ).select(
+    own_bodies = _let(F.col("lines"), lambda lines: F.transform("w", lambda w: F.struct(
+        w["b1"].alias("b1"), w["b2"].alias("b2"), w["first"].alias("first"), F.slice(lines, w["first"], min_lines).alias("body")
+    )))
+    bodies = known.join(owned, ["known", "i", "d1", "d2"]).select("known", "i", "d1", "d2", F.explode(own_bodies).alias("w")).select(
         F.col("w.b1").alias("b1"), F.col("w.b2").alias("b2"), F.struct("known", "i", "d1", "d2", "w.first").alias("owner"),
-        F.slice("lines", F.col("w.first"), min_lines).alias("body"),
+        F.col("w.body").alias("body"),
     ).groupBy("b1", "b2").agg(F.first("owner").alias("owner"), F.first("body").alias("body"))
     again = windows.select("b1", "b2", place.alias("own")).join(bodies, ["b1", "b2"]).where("own <> owner")
     per_doc = again.groupBy("own.known", "own.i", "own.d1", "own.d2").agg(
@@ -165,15 +195,21 @@ def without_repeated_runs(
     )
     # the same columns as in the join above, so that one shuffle of the text serves both
     joined = known.join(per_doc, ["known", "i", "d1", "d2"], "left")
-    equal = F.filter("again", lambda a: F.slice("lines", a["first"], min_lines) == a["body"])
-    starts = F.coalesce(F.transform(equal, lambda a: a["first"]), F.array().cast("array<int>"))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + min_lines - 1))))
-    marked = joined.withColumn("starts", starts).withColumn("gone", gone)
-    runs = F.filter("gone", lambda g: ~F.array_contains("gone", g - 1))
-    kept = F.filter("lines", lambda _, at: ~F.array_contains("gone", at + 1))
+    equal = _let(F.col("lines"), lambda lines: F.filter("again", lambda a: F.slice(lines, a["first"], min_lines) == a["body"]))
+    starts = F.sort_array(F.coalesce(F.transform(equal, lambda a: a["first"]), F.array().cast("array<int>")))
+    marked = joined.select("known", "i", "lines", starts.alias("starts"))
+    # a run begins at a window that no window before it reaches, and ends behind one that reaches no later one
+    firsts = _let(F.col("starts"), lambda all_: F.filter(all_, lambda s, at: (at == 0) | (s > F.get(all_, at - 1) + min_lines)))
+    ends = _let(F.col("starts"), lambda all_: F.transform(
+        F.filter(all_, lambda s, at: (at == F.size(all_) - 1) | (F.get(all_, at + 1) > s + min_lines)), lambda s: s + min_lines
+    ))
+    marked = marked.select("known", "i", "lines", firsts.alias("firsts"), ends.alias("ends"))
+    removed = F.aggregate(
+        F.zip_with("firsts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda total, n: total + n
+    )
+    kept = F.when(F.size("firsts") == 0, F.col("lines")).otherwise(lines_between("lines", F.col("firsts"), F.col("ends")))
     return marked.select(
         F.when(F.col("known"), F.col("i").cast(docs.schema[id_col].dataType)).alias(id_col),
-        F.size("lines").cast("long").alias("n_lines"), F.size(runs).cast("long").alias("n_removed_runs"),
-        F.size("gone").cast("long").alias("n_removed_lines"),
-        F.array_join(F.when(F.size("gone") == 0, F.col("lines")).otherwise(kept), "\n").alias(text_col),
+        F.size("lines").cast("long").alias("n_lines"), F.size("firsts").cast("long").alias("n_removed_runs"),
+        removed.alias("n_removed_lines"), F.array_join(kept, "\n").alias(text_col),
     )
