@@ -14,6 +14,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,6 +69,11 @@ def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
+def _keys(lang: pa.Array, phrase: pa.Array) -> pa.Array:
+    """Language and phrase as one string; a phrase has no tabs, so the last tab parts them."""
+    return pc.binary_join_element_wise(lang.cast(pa.string()), phrase, "\t")
+
+
 def _run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each non-empty run of bytes; ``data`` holds the runs one behind the other."""
     if not len(lengths):
@@ -239,9 +245,7 @@ def _grams(m: int, overlap: int, frequent):
             weights = f[block.rows[own]]
             totals = np.zeros(len(block.langs), np.int64)
             np.add.at(totals, block.lang[own], weights)
-            yield pa.RecordBatch.from_arrays(
-                [block.langs, pa.array([""] * len(totals)), pa.array(totals)], names=["lang", "phrase", "a"]
-            )
+            yield pa.RecordBatch.from_arrays([_keys(block.langs, pa.array([""] * len(totals))), pa.array(totals)], names=["key", "a"])
         if frequent is not None:
             held = frequent.value.holds(block.hashes(m - 1))
             own[:-1] &= held[:-1] & held[1:]
@@ -257,10 +261,14 @@ def _grams(m: int, overlap: int, frequent):
         counts = np.zeros(len(first), np.int64)
         np.add.at(counts, code, f[block.rows[at]])
         begin = at[first]
+        # phrases of one first word side by side: they are packed better when shuffled
+        order = np.lexsort([block.word[begin + k] for k in range(m - 1, -1, -1)] + [block.lang[begin]])
+        begin, counts = begin[order], counts[order]
         low, lengths = block.starts[begin], block.ends[begin + m - 1] - 1 - block.starts[begin]
-        yield pa.RecordBatch.from_arrays([
-            block.langs.take(pa.array(block.lang[begin])), _strings(_gathered(block.data, low, lengths), lengths), pa.array(counts),
-        ], names=["lang", "phrase", "a"])
+        phrases = _strings(_gathered(block.data, low, lengths), lengths)
+        yield pa.RecordBatch.from_arrays(
+            [_keys(block.langs.take(pa.array(block.lang[begin])), phrases), pa.array(counts)], names=["key", "a"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -315,9 +323,11 @@ def phrase_counts(chunks: DataFrame, longest: int, least: int) -> tuple[DataFram
     """
     spark, levels, frequent, totals = chunks.sparkSession, [], None, None
     for m in range(1, longest + 1):
-        found = chunks.mapInArrow(_grams(m, longest - 1, frequent), "lang string, phrase string, a long")
-        counts = found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("phrase") == ""))
-        level = stored(counts.withColumn("words", F.lit(m)), "phrase-counts")
+        found = chunks.mapInArrow(_grams(m, longest - 1, frequent), "key string, a long")
+        phrase = F.substring_index("key", "\t", -1)
+        counts = found.groupBy("key").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (phrase == ""))
+        lang = F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(phrase) - 1)
+        level = stored(counts.select(lang.alias("lang"), phrase.alias("phrase"), "a", F.lit(m).alias("words")), "phrase-counts")
         if m == 1:
             totals = level.where("phrase = ''").select("lang", F.col("a").alias("n"))
             level = level.where("phrase <> '' and a >= " + str(least))

@@ -116,3 +116,8 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     wanted = brute([(r[2], r[1]) for r in odd_rows], PhraseSpec(least=1))
     assert {(r["lang"], r["rank"], r["phrase"], r["a"], r["l"], r["r"], r["n"], r["score"]) for r in got} == wanted
     assert c.collocations(no_docs).collect() == []
+
+
+def test_languages_with_tabs_and_empty_names(spark):
+    rows = [("a\tb", "x y z x y"), ("", "x y x y"), ("a", "b x y x y")] * 3
+    assert found(spark, rows, PhraseSpec(least=3), 4) == brute(rows, PhraseSpec(least=3))
