@@ -45,18 +45,31 @@ def _part(digest: Column, at: Column | int, n: int) -> Column:
     return F.conv(F.substring(digest, start, F.lit(n)), 16, 10).cast("long")
 
 
+#: First code point and number of letters of the runs within which a letter moves.
+_LETTERS = (
+    (0x30, 10), (0x41, 26), (0x61, 26), (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x100, 128), (0x391, 17), (0x3A3, 7),
+    (0x3B1, 25), (0x410, 32), (0x430, 32), (0x450, 16), (0x531, 38), (0x561, 38), (0x5D0, 27), (0x620, 43), (0x904, 54), (0xE01, 46),
+    (0x10D0, 43), (0x3041, 86), (0x30A1, 90), (0x4E00, 20_902), (0xAC00, 11_172),
+)
+
+
 def _shifted(c: Column, by: Column) -> Column:
-    """A digit or a small or capital letter, Latin-1 accents included, moved within its class; others stay."""
-    code = F.ascii(c)
+    """A digit or letter moved within its run of letters, so that its script and, where it has one, its case stay."""
+    code, run = F.ascii(c), F.lit(None).cast("struct<first:int,size:int>")
+    for first, size in reversed(_LETTERS):
+        run = F.when(code.between(first, first + size - 1), F.struct(F.lit(first).alias("first"), F.lit(size).alias("size"))).otherwise(run)
 
-    def within(first: int, size: int) -> Column:
-        return F.char(F.lit(first) + (code - F.lit(first) + by) % F.lit(size))
+    def letter(x: Column) -> Column:
+        return F.when(x < 0x80, F.char(x)).otherwise(F.decode(F.unhex(F.lpad(F.hex(x), 4, "0")), "UTF-16BE"))
+
+    return F.coalesce(_let(run, lambda r: _let(r["first"] + (code - r["first"] + by) % r["size"], letter)), c)
 
-    return (
-        F.when(code.between(48, 57), within(48, 10)).when(code.between(65, 90), within(65, 26))
-        .when(code.between(97, 122), within(97, 26)).when(code.between(0xC0, 0xD6), within(0xC0, 23))
-        .when(code.between(0xE0, 0xF6), within(0xE0, 23)).otherwise(c)
-    )
+
+def _in_format(m: Column, sign: str, new: Column) -> Column:
+    """``m`` with its characters that match ``sign`` replaced, one after another, by those of ``new``."""
+    return _let(F.struct(F.split(m, sign, -1).alias("gaps"), new.alias("new")), lambda x: F.when(x["new"].isNotNull(), F.array_join(
+        F.zip_with(x["gaps"], F.concat(_chars_of(x["new"]), F.array(F.lit(""))), lambda gap, c: F.concat(gap, c)), ""
+    )))
 
 
 def _chars_of(s: Column) -> Column:
@@ -67,11 +80,9 @@ def permuted(s: Column, key: str, kind: str) -> Column:
     """Feistel over the two halves of a short string; every character stays in its class, separators stay."""
 
     def moved(half: Column, other: Column, number: Column) -> Column:
-        digest = _digest(key, kind, number, other)
-        shifted = F.transform(
-            F.sequence(F.lit(1), F.length(half)),
-            lambda i: _shifted(F.substring(half, i, F.lit(1)), _part(digest, (i - 1) % 31 * 2 + 1, 2)),
-        )
+        shifted = _let(_digest(key, kind, number, other), lambda digest: F.transform(
+            _chars_of(half), lambda c, i: _shifted(c, _part(digest, i % 31 * 2 + 1, 2))
+        ))
         return F.when(F.length(half) == 0, F.lit("")).otherwise(F.array_join(shifted, ""))
 
     def step(state: Column, number: Column) -> Column:
@@ -120,10 +131,14 @@ def _digits(s: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     """Null unless the Luhn sum holds; the new check digit makes it hold again."""
-    new = _let(permuted(F.substring(m, F.lit(1), F.length(m) - 1), key, "card"), lambda body: F.concat(
-        body, ((F.lit(10) - _luhn(_digits(body), 1) % 10) % 10).cast("string")
-    ))
-    return F.when(_luhn(_digits(m), 0) % 10 == 0, new)
+
+    def new(digits: Column) -> Column:
+        body = _let(permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card"), lambda body: F.concat(
+            body, ((F.lit(10) - _luhn(body, 1) % 10) % 10).cast("string")
+        ))
+        return F.when(_luhn(digits, 0) % 10 == 0, body)
+
+    return _in_format(m, "[0-9]", _let(_digits(m), new))
 
 
 def _rest97(s: Column) -> Column:
@@ -134,16 +149,14 @@ def _rest97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    country, tail = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+    def new(plain: Column) -> Column:
+        country, tail = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+        valid = (_rest97(F.concat(tail, F.substring(plain, 1, 4))) == 1) & (F.length(plain) >= 15)
+        return F.when(valid, _let(permuted(tail, key, "iban"), lambda body: F.concat(
+            country, F.lpad((F.lit(98) - _rest97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body
+        )))
 
-    def plain(x: Column) -> Column:
-        return F.replace(x, F.lit(" "), F.lit(""))
-
-    valid = _rest97(plain(F.concat(tail, F.substring(m, 1, 4)))) == 1
-    new = _let(permuted(tail, key, "iban"), lambda body: F.concat(
-        country, F.lpad((F.lit(98) - _rest97(F.concat(plain(body), country, F.lit("00")))).cast("string"), 2, "0"), body
-    ))
-    return F.when(valid & (F.length(plain(m)) >= 15), new)
+    return _in_format(m, "[A-Z0-9]", _let(F.replace(m, F.lit(" "), F.lit("")), new))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -218,22 +231,25 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Seven to fifteen digits; a country code with its plus sign stays."""
-    code = F.regexp_extract(m, r"^(\+\d{1,3}[ .\-(]+)", 1)
-    n = F.length(_digits(m))
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.when(n.between(7, 15), F.concat(code, permuted(rest, key, "phone")))
+    """Seven to fifteen digits; those before the last ten, which are of a country code, stay."""
+
+    def new(digits: Column) -> Column:
+        code = F.greatest(F.length(digits) - 10, F.lit(0))
+        moved = permuted(F.substring(digits, code + 1, F.length(digits)), key, "phone")
+        return F.when(F.length(digits).between(7, 15), F.concat(F.substring(digits, F.lit(1), code), moved))
+
+    return _in_format(m, "[0-9]", _let(_digits(m), new))
 
 
 def _ssn(m: Column, key: str) -> Column:
     valid = ~m.rlike("^(000|666|9)") & ~m.rlike("-00-") & ~m.rlike("0000$")
-    return F.when(valid, permuted(m, key, "ssn"))
+    return F.when(valid, _in_format(m, "[0-9]", permuted(_digits(m), key, "ssn")))
 
 
 def _email(m: Column, key: str) -> Column:
-    """The local part changes, the domain stays."""
+    """The local part changes, in small letters whatever its spelling; the domain stays."""
     local = F.substring_index(m, "@", 1)
-    return F.concat(permuted(local, key, "email"), F.substring(m, F.length(local) + 1, F.length(m)))
+    return F.concat(permuted(F.lower(local), key, "email"), F.substring(m, F.length(local) + 1, F.length(m)))
 
 
 _NEW = {"email": _email, "date": _date, "ip": _ip, "card": _card, "ssn": _ssn, "phone": _phone, "iban": _iban}
@@ -247,7 +263,9 @@ def _replacement(m: Column, key: str) -> Column:
     """(kind, new) of a match; kind is null where no validation holds, and the match then stays."""
     pick = F.lit(None).cast("struct<kind:string,new:string>")
     for kind in reversed(_ORDER):
-        pick = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _named(kind, _NEW[kind](m, key))).otherwise(pick)
+        # a value that its permutation maps to itself is no replacement
+        new = _let(_NEW[kind](m, key), lambda value: F.when(value != m, value))
+        pick = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), _named(kind, new)).otherwise(pick)
     return pick
 
 
@@ -259,9 +277,10 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """(id, text with pseudonyms, one count ``n_<kind>`` per kind) for every row, in one pass without a shuffle.
 
     Kinds: card (Luhn), IBAN (modulo 97), IPv4 (four octets), phone (7 to 15 digits), US social security number, date
-    (a real day from 1800 to 2199) and e-mail (local part). A value that fails its validation stays. Two equal
-    values of a kind have equal pseudonyms under one key, and a pseudonym is valid again where a check digit or
-    calendar says what is valid. Two dates written in different orders can share a pseudonym.
+    (a real day from 1800 to 2199) and e-mail (local part). A value that fails its validation stays. The bare digits or
+    letters of a value are permuted and then written into its format, so equal values have equal pseudonyms under one
+    key however they are spaced or, in an address, capitalised; a pseudonym is valid again where a check digit or
+    calendar says what is valid. Counts are of values that changed. Letters of any script below move within it.
 
     ``key`` must be kept secret. A null text gives null and zero counts; a null id stays null. Repeated rows give
     repeated results, an empty table none. Other columns are ignored.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -134,8 +135,20 @@ FROM begun GROUP BY doc_id
 """
 
 
+#: The Spark setting that holds the key of pseudonyms; where it is unset, a session draws one and keeps it there.
+KEY_SETTING = "spark.tabloom.pseudonym.key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def op10_feistel_pii(spark: SparkSession, sf: str) -> DataFrame:
-    return pseudonyms.pseudonymised(documents(spark, sf), key="pseudonym key of this corpus")
+    return pseudonyms.pseudonymised(documents(spark, sf), pseudonym_key(spark))
 
 
 def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:

@@ -272,3 +272,82 @@ def test_pseudonyms_of_odd_rows(odd_docs, odd_rows, no_docs):
     got = collections.Counter((r["doc_id"], r["text"]) for r in pseudonyms.pseudonymised(odd_docs, "k").where("doc_id IS NOT NULL").collect())
     assert got == collections.Counter(r[:2] for r in odd_rows if r[0] is not None)
     assert pseudonyms.pseudonymised(no_docs, "k").count() == 0
+
+
+@pytest.mark.parametrize("removed", [without_repeated_chunks, without_repeated_runs])
+def test_documents_of_very_many_lines(spark, removed):
+    text = "\n".join(f"line {i} of {i % 7}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "\n".join(["same", "other"] * 20_000))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in removed(docs).collect()}
+    assert got[1]["n_removed_lines"] == 0 and got[1]["text"] == text
+    if removed is without_repeated_runs:
+        assert (got[2]["n_removed_lines"], got[2]["text"], got[3]["n_removed_lines"]) == (60_000, "", 39_998)
+    else:
+        assert got[2]["n_removed_lines"] > 20_000 and got[2]["n_lines"] == 60_000
+
+
+def spelled(spark, texts, key="key"):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = pseudonyms.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), key).orderBy("doc_id").collect()
+    return got
+
+
+@pytest.mark.parametrize(("texts", "kind"), [
+    (["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], "card"),
+    (["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"], "iban"),
+    (["+1 (743) 555-3824", "(743) 555-3824", "743-555-3824", "+17435553824", "743.555.3824"], "phone"),
+    (["Ann.Lee@example.com", "ann.lee@example.com", "ANN.LEE@example.com"], "email"),
+    (["2020-02-29", "2020/02/29", "02/29/2020", "29.02.2020"], "date"),
+])
+def test_one_pseudonym_in_every_spelling(spark, texts, kind):
+    got = spelled(spark, texts)
+    assert all(r[f"n_{kind}"] == 1 and r["text"] != t for r, t in zip(got, texts, strict=True))
+    for r, t in zip(got, texts, strict=True):
+        shape = [c if not c.isalnum() else "x" for c in t]
+        assert kind == "date" or [c if not c.isalnum() else "x" for c in r["text"]] == shape
+    if kind == "date":
+        days = {tuple(int(x) for x in (r["text"][:4], r["text"][5:7], r["text"][8:])) for r in got[:2]}
+        days |= {(int(got[2]["text"][6:]), int(got[2]["text"][:2]), int(got[2]["text"][3:5]))}
+        days |= {(int(got[3]["text"][6:]), int(got[3]["text"][3:5]), int(got[3]["text"][:2]))}
+        assert len(days) == 1
+    else:
+        bare = {"".join(c for c in r["text"] if c.isalnum()).removeprefix("1" if kind == "phone" and r["text"][0] == "+" else "") for r in got}
+        assert len(bare) == 1
+
+
+def feistel(text, key, kind):
+    """The permutation of a short string, step by step."""
+
+    def move(c, by):
+        for first, size in pseudonyms._LETTERS:
+            if first <= ord(c) < first + size:
+                return chr(first + (ord(c) - first + by) % size)
+        return c
+
+    def moved(half, other, number):
+        digest = hashlib.sha256(f"{key}|{kind}|{number}|{other}".encode()).hexdigest()
+        return "".join(move(c, int(digest[i % 31 * 2 : i % 31 * 2 + 2], 16)) for i, c in enumerate(half))
+
+    for number in range(pseudonyms.ROUNDS):
+        left, right = text[: len(text) // 2], text[len(text) // 2 :]
+        text = moved(left, right, number) + right if number % 2 == 0 else left + moved(right, left, number)
+    return text
+
+
+def test_pseudonyms_match_a_plain_feistel_network(spark):
+    names = ["мария", "Ann", "élodie", "田中", "ελένη", "מרים", "박민수", "a", "x.y-z", "ÿß", "ÀÖØ"]
+    got = spelled(spark, [f"{n}@example.com" for n in names], "k")
+    for name, r in zip(names, got, strict=True):
+        wanted = feistel(name.lower(), "k", "email")
+        assert r["text"] == f"{wanted}@example.com" and r["n_email"] == int(wanted != name)
+    digits = ["743-555-3824", "123-45-6789"]
+    phone, ssn = spelled(spark, digits, "k")
+    assert phone["text"].replace("-", "") == feistel("7435553824", "k", "phone")
+    assert ssn["text"].replace("-", "") == feistel("123456789", "k", "ssn")
+
+
+def test_counts_are_of_values_that_changed(spark):
+    texts = [f"{'+'}{i:08d}" for i in range(20_000_000, 20_000_400)]
+    got = spelled(spark, texts)
+    assert all(r["n_phone"] == int(r["text"] != t) for r, t in zip(got, texts, strict=True))
+    assert len({r["text"] for r in got}) == 400
