@@ -76,12 +76,13 @@ def repeated_chunks(chunks: DataFrame, min_lines: int) -> DataFrame:
     )
     again = places.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b1", "b2")
     candidates = places.join(again, ["b1", "b2"], "left_semi")
+    # the owner names the size too, so that both sides of the join below read the same columns of one shuffle
     sorted_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING))
     owners = candidates.groupBy("b1", "b2", "body").agg(
-        F.min(F.struct(sorted_id.alias("i"), "d1", "d2", "first")).alias("owner"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct(sorted_id.alias("i"), "d1", "d2", "first", "size")).alias("owner"), F.count(F.lit(1)).alias("n")
     ).where("n > 1").select("b1", "b2", F.col("body").alias("owner_body"), "owner")
     found = candidates.join(owners, ["b1", "b2"]).where(F.col("body") == F.col("owner_body"))
-    is_owner = F.struct(sorted_id.alias("i"), "d1", "d2", "first") == F.col("owner")
+    is_owner = F.struct(sorted_id.alias("i"), "d1", "d2", "first", "size") == F.col("owner")
     return found.where(~is_owner).select("doc_id", "d1", "d2", "first", "size")
 
 
