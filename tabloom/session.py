@@ -17,6 +17,7 @@ def build_session(app: str = "tabloom", master: str | None = None, **conf: str)
     if master:
         builder = builder.master(master)
     settings = {
+        "spark.scheduler.mode": "FAIR",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
