@@ -9,6 +9,7 @@ from tabloom.functions.hashing import uniform
 from tabloom.functions.numeric import half_even as half_even_column
 from tabloom.functions.numeric import normal_cdf as normal_cdf_column
 from tabloom.functions.numeric import weighted_class
+from tabloom.operators.fidelity import level_report
 from tabloom.operators import sampling as sp
 from tabloom.operators.ranking import dense_index
 from tabloom.operators.synthesis import copula as cp
@@ -112,6 +113,28 @@ def seq_gbt(spark, sf):
     return sequential(sequential_table(spark, sf), ["o_orderkey"], settings=TreeSettings("gbt"), max_training_rows=8_000)
 
 
+def copula_synth_levels(spark, sf):
+    """Rows, missing values and unknown levels of the copula's categories and few-valued numbers."""
+    real = table(spark, sf, "orders")
+    return level_report(real, cut_lineage(gaussian_copula(real, ["o_orderkey"])), ["o_orderstatus", "o_orderpriority", "o_custkey"])
+
+
+def seq_rf_levels(spark, sf):
+    """The same for the categories of the forest on the aligned table."""
+    real = sequential_table(spark, sf)
+    synth = sequential(real, ["o_orderkey"], settings=TreeSettings("rf"), max_training_rows=5_000)
+    return level_report(real, cut_lineage(synth), SEQ_CATEGORIES)
+
+
+SEQ_CATEGORIES = ["o_orderstatus", "o_orderpriority", "target", "text_sentiment", "text_sentiment_id"]
+
+
+def _no_new_levels_sql(columns):
+    return "SELECT c AS \"column\", count(*) AS n_rows, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_new_levels FROM orders, (VALUES {}) v(c) GROUP BY c".format(
+        ", ".join(f"('{c}')" for c in columns)
+    )
+
+
 def class_draw(spark, sf):
     """Draw a class for every order from probabilities made of its own hash numbers."""
     key = F.col("o_orderkey")
@@ -242,6 +265,8 @@ QUERIES = {
               + (" LIMIT 1" if False else " HAVING count(*) > 0" if i == j else "")
               for i, a in enumerate(_CORR) for j, b in enumerate(_CORR))}""",
     ),
+    "copula_synth_levels": (copula_synth_levels, _no_new_levels_sql(["o_orderstatus", "o_orderpriority", "o_custkey"])),
+    "seq_rf_levels": (seq_rf_levels, _no_new_levels_sql(SEQ_CATEGORIES)),
     "copula_synth": (copula_synth, None),
     "copula_synth_aligned": (copula_synth_aligned, None),
     "normal_cdf": (normal_cdf, None),

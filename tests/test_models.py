@@ -435,3 +435,11 @@ def test_a_sweep_goes_on_where_it_stopped(spark, real, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{log}/runs/d/xgboost/2/utility").count() == 3
     assert spark.read.parquet(f"{log}/runs/d/xgboost/2/synthetic").count() == 200
     assert spark.read.parquet(f"{log}/runs/d/xgboost/2/fidelity").count() > 0
+
+
+def test_level_report(spark):
+    real = spark.createDataFrame([("a", 1), ("b", None), ("a", 2)], "x string, y int")
+    synth = spark.createDataFrame([("a", 1), ("c", None), (None, 7), ("a", 1)], "x string, y int")
+    got = {r["column"]: tuple(r)[1:] for r in fidelity.level_report(real, synth, ["x", "y"]).collect()}
+    assert got == {"x": (4, 1, 2), "y": (4, 1, 1)}
+    assert fidelity.level_report(real, synth.limit(0), ["x"]).collect() == []
