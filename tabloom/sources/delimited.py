@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.operators.ranking import dense_index
+from tabloom.sources.records import read_records
 
 # Texts read as missing.
 MISSING = (
@@ -39,11 +40,12 @@ def latin_to_cp1252(text: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: is it valid UTF-8, does cp1252 reject it, does a quoted field span lines.
+    """One row per file: is it valid UTF-8, does cp1252 reject it, may a quoted field span lines.
 
-    Lines are judged in parallel and combined per file; no file is read whole.
+    ``bare_returns`` marks quoted files in which a carriage return stands without a line feed. Lines are judged in
+    parallel and combined per file; no file is read whole.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"))
     undefined = [b for b in range(0x80, 0xA0) if chr(b) not in _cp1252_pairs()[0]]
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     rejects = latin.rlike("[" + "".join(rf"\x{{{b:x}}}" for b in undefined) + "]")
@@ -51,8 +53,9 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("file").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_or(rejects).alias("not_cp1252"),
-        F.bool_or(quotes % 2 == 1).alias("spans_lines"),
-    )
+        F.bool_or(quotes % 2 == 1).alias("odd_quotes"),
+        (F.bool_or(F.col("value").rlike("\r[^\r]")) & (F.sum(quotes) > 0)).alias("bare_returns"),
+    ).select("file", "utf8", "not_cp1252", (F.col("odd_quotes") | F.col("bare_returns")).alias("spans_lines"), "bare_returns")
 
 
 def choose_encoding(utf8: bool, not_cp1252: bool, encodings: Sequence[str]) -> str:
@@ -70,17 +73,23 @@ def choose_encoding(utf8: bool, not_cp1252: bool, encodings: Sequence[str]) -> s
     raise ValueError(f"None of the encodings {list(encodings)} can read the file.")
 
 
+#: How the records of a file are found: by lines, by lines and the quotes before them, or by reading it whole.
+_PLAIN, _BLOCKS, _WHOLE = range(3)
+
+
 def _read_group(
-    spark: SparkSession, files: list[str], encoding: str, multi_line: bool, sep: str, header: bool,
+    spark: SparkSession, files: list[str], encoding: str, way: int, sep: str, header: bool,
     names: Sequence[str] | None, keep_place: bool,
 ) -> DataFrame:
+    options = dict(sep=sep, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = spark.read.csv(
-        files, sep=sep, header=header, inferSchema=False, escape='"', multiLine=multi_line,
-        encoding="UTF-8" if encoding == "utf-8" else "ISO-8859-1", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
+        files, header=header, inferSchema=False, multiLine=way != _PLAIN,
+        encoding="UTF-8" if encoding == "utf-8" else "ISO-8859-1", **options,
     )
     columns = df.columns
-    if keep_place:
+    if way == _BLOCKS:
+        df = _parsed(read_records(spark, files, sep, encoding != "utf-8"), len(columns), header, options, keep_place)
+    elif keep_place:
         df = df.select(
             *[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_path").alias(_PLACE[0]),
             F.col("_metadata.file_block_start").alias(_PLACE[1]), F.monotonically_increasing_id().alias(_PLACE[2]),
@@ -93,11 +102,24 @@ def _read_group(
     return df.withColumn(first, F.regexp_replace(first, "^\ufeff", ""))
 
 
-def _groups(rows, encodings: Sequence[str]) -> Iterator[tuple[tuple[str, bool], list[str]]]:
-    grouped: dict[tuple[str, bool], list[str]] = {}
+def _parsed(records: DataFrame, width: int, header: bool, options: dict, keep_place: bool) -> DataFrame:
+    """The fields of whole records; the first record of every file is its header if there is one."""
+    if header:
+        heads = records.groupBy("file").agg(F.min(F.struct("block", "line")).alias("head"))
+        records = records.join(heads, "file").where(F.struct("block", "line") > F.col("head"))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    fields = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "), {
+        **{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}, "multiLine": "true",
+    })
+    rows = records.select(fields.alias("f"), F.col("file").alias(_PLACE[0]), F.col("block").alias(_PLACE[1]), F.col("line").alias(_PLACE[2]))
+    return rows.select("f.*", *(_PLACE if keep_place else ()))
+
+
+def _groups(rows, encodings: Sequence[str]) -> Iterator[tuple[tuple[str, int], list[str]]]:
+    grouped: dict[tuple[str, int], list[str]] = {}
     for r in rows:
-        kind = (choose_encoding(r["utf8"], r["not_cp1252"], encodings), r["spans_lines"])
-        grouped.setdefault(kind, []).append(r["file"])
+        way = _WHOLE if r["bare_returns"] else _BLOCKS if r["spans_lines"] else _PLAIN
+        grouped.setdefault((choose_encoding(r["utf8"], r["not_cp1252"], encodings), way), []).append(r["file"])
     yield from sorted(grouped.items())
 
 
@@ -107,15 +129,16 @@ def read_strings(
 ) -> DataFrame:
     """All columns as text with missing tokens as NULL; each file in the first encoding that reads it.
 
-    Files whose quoted fields span lines are read unsplit, the others stay splittable. ``keep_place`` adds
-    file, block and line columns that sort rows as they stand in the files.
+    Files stay splittable also where quoted fields span lines (``sources.records``); only quoted files with
+    carriage returns that no line feed follows are read unsplit. ``keep_place`` adds file, block and line columns that
+    sort rows as they stand in the files.
     """
     files = scan_files(spark, path).collect()
     if not files:
         raise ValueError(f"No data in '{path}'.")
     frames = [
-        _read_group(spark, paths, encoding, multi_line, sep, header and names is None, names, keep_place)
-        for (encoding, multi_line), paths in _groups(files, encodings)
+        _read_group(spark, paths, encoding, way, sep, header and names is None, names, keep_place)
+        for (encoding, way), paths in _groups(files, encodings)
     ]
     out = frames[0]
     for frame in frames[1:]:
