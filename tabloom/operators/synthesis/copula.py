@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.hashing import never_null, standard_normal
 from tabloom.functions.numeric import normal_cdf, normal_score
@@ -17,15 +19,59 @@ from tabloom.operators.cleaning import require_rows
 from tabloom.operators.ranking import dense_index
 from tabloom.operators.sampling import _FIELDS, gather, melt_cells
 from tabloom.operators.synthesis.levels import few_valued, level_tables, place_levels
+from tabloom.operators.synthesis.stored import read_levels, read_manifest, write_cells, write_levels, write_manifest
 from tabloom.session import BROADCAST_ROWS
 
 
 @dataclass
 class CopulaFit:
+    """Sorted cells, counted levels and the factor of the rank correlation; any number of row sets cost one fit."""
+
     columns: list[str]
     size: int
     sorted_cells: DataFrame  # (col, idx, l, d, s)
     factor: np.ndarray  # of the rank correlation
+    schema: T.StructType
+    tables: dict[str, list[tuple[dict, int]]]  # of few-valued columns
+
+    @property
+    def many(self) -> dict[str, tuple[int, T.DataType]]:
+        return {c: (i, self.schema[c].dataType) for i, c in enumerate(self.columns) if c not in self.tables}
+
+    def generate(self, n_rows: int | None = None, seed: int = 42, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+        """Synthetic rows with a ``row_id``, as many as the table had unless ``n_rows`` says otherwise."""
+        rows = self.sorted_cells.sparkSession.range(n_rows if n_rows is not None else self.size)
+        normals = correlated_normals(rows.select(F.col("id").alias("row_id")), self.factor, seed)
+        below_one = F.lit(1.0 - 2.0**-52)
+
+        def position(i: int):
+            drawn = F.least(normal_cdf(F.col(f"y_{i}")), below_one) * F.lit(float(self.size))
+            return never_null(F.floor(drawn).cast("bigint"), 0)
+
+        draws = normals.select("row_id", *[position(i).alias(f"_at_{c}") for i, c in enumerate(self.columns)])
+        draws = place_levels(draws, self.schema, self.tables)
+        out = gather(draws, self.sorted_cells, self.many, self.size, broadcast_rows=broadcast_rows)
+        return out.select("row_id", *self.columns)
+
+    def save(self, folder: str) -> None:
+        """Write the cells of many-valued columns, the levels of all others and last the manifest below ``folder``."""
+        spark, folder = self.sorted_cells.sparkSession, folder.rstrip("/")
+        write_cells(folder, self.sorted_cells.where(F.col("col").isin([i for i, _ in self.many.values()])))
+        write_levels(spark, folder, self.tables)
+        write_manifest(spark, folder, {
+            "kind": "copula", "schema": self.schema.json(), "columns": self.columns, "size": self.size,
+            "factor": self.factor.tolist(),
+        })
+
+
+def load_copula(spark: SparkSession, folder: str) -> CopulaFit:
+    """The fit that ``save`` wrote to ``folder``; it generates the same rows."""
+    folder = folder.rstrip("/")
+    held = read_manifest(spark, folder)
+    return CopulaFit(
+        held["columns"], held["size"], spark.read.parquet(f"{folder}/cells"), np.array(held["factor"]),
+        T.StructType.fromJson(json.loads(held["schema"])), read_levels(spark, folder),
+    )
 
 
 def reject_missing(df: DataFrame, columns: Sequence[str]) -> None:
@@ -85,7 +131,7 @@ def draw_factor(correlation: np.ndarray, floor: float = 1e-6) -> np.ndarray:
 
 
 def fit_copula(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None = None) -> CopulaFit:
-    """Ranks, sorted values and the rank correlation of all columns."""
+    """Ranks, sorted values, levels and the rank correlation of all columns; it draws nothing, so it needs no seed."""
     columns = list(columns or [c for c in df.columns if c not in key])
     require_rows(df)
     reject_missing(df, columns)
@@ -93,7 +139,9 @@ def fit_copula(df: DataFrame, key: Sequence[str], columns: Sequence[str] | None
     cells = ranked_cells(df, columns, key)
     scores = _scores(cells, len(columns), len(key), size)
     raw = correlation_matrix(scores, [f"score_{i}" for i in range(len(columns))])
-    return CopulaFit(columns, size, cells.select("col", "idx", *_FIELDS), draw_factor(raw))
+    source = df.select(*columns)
+    tables = level_tables(source, few_valued(source))
+    return CopulaFit(columns, size, cells.select("col", "idx", *_FIELDS), draw_factor(raw), source.schema, tables)
 
 
 def correlated_normals(rows: DataFrame, factor: np.ndarray, seed: int, row: str = "row_id") -> DataFrame:
@@ -113,16 +161,4 @@ def gaussian_copula(
     columns: Sequence[str] | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Synthetic rows with the marginals and the rank correlation of ``df``; adds ``row_id``."""
-    fit = fit_copula(df, key, columns)
-    source = df.select(*fit.columns)
-    rows = df.sparkSession.range(n_rows if n_rows is not None else fit.size).select(F.col("id").alias("row_id"))
-    normals = correlated_normals(rows, fit.factor, seed)
-    below_one = F.lit(1.0 - 2.0**-52)
-    draws = normals.select("row_id", *[
-        never_null(F.floor(F.least(normal_cdf(F.col(f"y_{i}")), below_one) * F.lit(float(fit.size))).cast("bigint"), 0).alias(f"_at_{c}")
-        for i, c in enumerate(fit.columns)
-    ])
-    few = few_valued(source)
-    draws = place_levels(draws, source.schema, level_tables(source, few))
-    many = {c: (i, source.schema[c].dataType) for i, c in enumerate(fit.columns) if c not in few}
-    return gather(draws, fit.sorted_cells, many, fit.size, broadcast_rows=broadcast_rows).select("row_id", *fit.columns)
+    return fit_copula(df, key, columns).generate(n_rows, seed, broadcast_rows)

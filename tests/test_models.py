@@ -15,6 +15,8 @@ from tabloom.operators import alignment, fidelity, metrics, textfeatures, utilit
 from tabloom.operators.cleaning import TextSpec
 from tabloom.operators.synthesis import gaussian_copula, independent, repair_domains, sequential
 from tabloom.operators.synthesis.copula import correlated_normals, correlation_matrix, draw_factor, fit_copula
+from tabloom.operators.synthesis.independent import fit_independent
+from tabloom.operators.synthesis.stored import load_stored
 from tabloom.operators.synthesis.levels import few_valued
 from tabloom.operators.synthesis.repair import cast_back
 from tabloom.operators.synthesis.sequential import TreeSettings
@@ -403,6 +405,31 @@ def test_a_stored_fit_generates_the_same_rows(spark, real, tmp_path, learner):
     assert fit.generate(200, 3).collect() != fit.generate(200, 4).collect()
 
 
+@pytest.mark.parametrize("kind", ["independent", "copula", "few"])
+def test_stored_orders_generate_the_same_rows(spark, real, tmp_path, kind):
+    real = real.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")))
+    if kind == "few":
+        real = real.select("id", "group", "target")
+    fit = (fit_copula if kind == "copula" else fit_independent)(real, ["id"])
+    fit.save(str(tmp_path / "fit"))
+    loaded = load_stored(spark, str(tmp_path / "fit"))
+    assert type(loaded) is type(fit) and loaded.schema == fit.schema
+    rows = sorted(loaded.generate(200, 4).collect())
+    assert rows == sorted(fit.generate(200, 4).collect())
+    plain = (gaussian_copula if kind == "copula" else independent)(real, ["id"], 200, 4)
+    assert rows == sorted(plain.collect()) != sorted(loaded.generate(200, 5).collect())
+
+
+def test_a_sweep_stores_the_fit_of_sorted_columns(spark, real, tmp_path, monkeypatch):
+    fits = []
+    monkeypatch.setattr(sweep.OrderGenerator, "fit", lambda self, d, s, own=sweep.OrderGenerator.fit: fits.append(self.make) or own(self, d, s))
+    dataset = {"d": sweep.Dataset(real.select("id", "x", "target"), ["id"])}
+    methods, log = {"independent": sweep.generators()["independent"]}, str(tmp_path / "log")
+    assert sweep.sweep(dataset, methods, [1], 200, log=log, split_seed=7).count() == 1
+    assert sweep.sweep(dataset, methods, [1, 2], 200, log=log, split_seed=7).count() == 2
+    assert fits == [fit_independent]  # the new seed generates from the stored fit
+
+
 def test_a_sweep_goes_on_where_it_stopped(spark, real, tmp_path, monkeypatch):
     dataset = {"d": sweep.Dataset(real.select("id", "x", "group", "target"), ["id"])}
     trees = sweep.TreeGenerator(TreeSettings("gbt", rounds=1, depth=2), 300)
