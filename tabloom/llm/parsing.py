@@ -15,12 +15,14 @@ from pyspark.sql.functions import pandas_udf
 from tabloom.llm.storage import whole_text
 from tabloom.llm.tokens import CHUNK_BYTES, mixed
 
-#: Names in a fingerprint: the smallest of the phrase names of the levels used.
-SKETCH = 64
-#: Phrases of these levels (about 8 and 25 bytes long) make the fingerprint of every text. Texts of fewer than ``_SHORT``
-#: phrases of the last one keep a sketch of the first level (about 3 bytes) beside it, for comparison among themselves.
-LEVELS = (2, 3)
+#: Smallest phrase names of each level in a fingerprint.
+SKETCH = 32
+#: Bytes of an average phrase of each level: what a common phrase of it counts in a likeness.
+PHRASE_BYTES = (3, 8, 25)
+#: Texts of fewer phrases of the last level also show their names of the first one in the columns ``fine``.
 _SHORT = 8
+#: Text bytes that one range of ids, so one task, should hold.
+RANGE_BYTES = 128 * 1024 * 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,47 +98,59 @@ def _smallest(names: np.ndarray) -> np.ndarray:
     return np.unique((names >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
-def sketches(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """For each text the ``SKETCH`` smallest distinct phrase names, cut to 32 bits, in ascending order: those of
-    ``LEVELS``, and for a short text those of the first level, else None."""
+#: A fingerprint: per level, the smallest distinct phrase names, cut to 32 bits, in ascending order.
+Sketch = tuple[np.ndarray, ...]
+
+
+def sketches(texts: list[bytes]) -> list[Sketch]:
+    """For each text its fingerprint: the ``SKETCH`` smallest names of every level, the same levels for every text."""
     out, low = [], 0
     while low < len(texts):
         high, size = low, 0
         while high < len(texts) and (high == low or size + len(texts[high]) <= CHUNK_BYTES):
             size += len(texts[high])
             high += 1
-        levels = phrase_levels(texts[low:high], max(LEVELS))
+        levels = phrase_levels(texts[low:high], len(PHRASE_BYTES))
         for i in range(high - low):
-            own = [names[bounds[i] : bounds[i + 1]] for names, bounds in levels]
-            fine = _smallest(own[0]) if len(own[max(LEVELS) - 1]) < _SHORT else None
-            out.append((_smallest(np.concatenate([own[k - 1] for k in LEVELS])), fine))
+            out.append(tuple(_smallest(names[bounds[i] : bounds[i + 1]]) for names, bounds in levels))
         low = high
     return out
 
 
-def likeness(one: tuple[np.ndarray, np.ndarray | None], other: tuple[np.ndarray, np.ndarray | None]) -> float:
-    """Estimated share of common phrases from two sketches: 1 for equal, 0 for one empty.
+def likeness(one: Sketch, other: Sketch) -> float:
+    """Estimated share of common phrases from two fingerprints: 1 for equal, 0 for one empty.
 
-    The levels are the same on both sides: the first counts only where both have it.
+    Each level is sampled for itself; a phrase counts by the bytes an average one of its level has, so long texts are
+    mostly compared by long phrases, and short ones, which have few of those, by all levels alike.
     """
-    (a, a_fine), (b, b_fine) = one, other
-    if a_fine is not None and b_fine is not None:
-        a, b = np.union1d(a, a_fine)[:SKETCH], np.union1d(b, b_fine)[:SKETCH]
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(both, a, assume_unique=True) @ np.isin(both, b, assume_unique=True).astype(float)) / len(both)
+    common = total = 0
+    for a, b, weight in zip(one, other, PHRASE_BYTES, strict=True):
+        both = np.union1d(a, b)[:SKETCH]
+        total += weight * len(both)
+        common += weight * int((np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)).sum())
+    return common / total if total else 1.0
+
+
+def to_hex(sketch: Sketch) -> str:
+    """The levels in hexadecimal, eight digits a name, parted by points; nothing for an empty text."""
+    return ".".join(names.astype(">u4").tobytes().hex() for names in sketch) if len(sketch[0]) else ""
+
 
+def from_hex(fingerprint: str) -> Sketch:
+    """The fingerprint that ``to_hex`` wrote."""
+    parts = fingerprint.split(".") if fingerprint else [""] * len(PHRASE_BYTES)
+    return tuple(np.frombuffer(bytes.fromhex(part), ">u4").astype(np.uint32) for part in parts)
 
-def _hex(sketch: np.ndarray | None) -> str | None:
-    return None if sketch is None else sketch.astype(">u4").tobytes().hex()
+
+def _fine(sketch: Sketch) -> str | None:
+    return sketch[0].astype(">u4").tobytes().hex() if len(sketch[-1]) < _SHORT else None
 
 
 _OUT = "key bigint, is_null boolean, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, fine string, edited_fine string"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, tail, key): each text meets the one behind it; a tail row only ends its bucket."""
+    """Rows sorted by (bucket, tail, key, hash of the text): each text meets the one behind it; a tail row only ends its bucket."""
     last = None  # (bucket, key, is_null, text, sketch) still waiting for the text behind it
     for batch in batches:
         bucket, tail, key, null, text = (batch.column(c).to_pylist() for c in ("bucket", "tail", "key", "is_null", "text"))
@@ -157,63 +171,78 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "key": pa.array([p[0][1] for p in pairs], pa.int64()), "is_null": [p[0][2] for p in pairs],
             "n_chars": pa.array([len(p[0][3]) for p in pairs], pa.int64()),
             "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-            "fingerprint": [_hex(p[0][4][0]) for p in pairs], "edited_fingerprint": [_hex(s[0]) for s in edited_sketches],
+            "fingerprint": [to_hex(p[0][4]) for p in pairs], "edited_fingerprint": [to_hex(s) for s in edited_sketches],
             "near_edited": [likeness(p[0][4], s) for p, s in zip(pairs, edited_sketches, strict=True)],
             "near_next": [likeness(p[0][4], p[2]) for p in pairs],
-            "fine": pa.array([_hex(p[0][4][1]) for p in pairs], pa.string()),
-            "edited_fine": pa.array([_hex(s[1]) for s in edited_sketches], pa.string()),
+            "fine": pa.array([_fine(p[0][4]) for p in pairs], pa.string()),
+            "edited_fine": pa.array([_fine(s) for s in edited_sketches], pa.string()),
         })
 
 
-def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprinted(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, which ends in the beginning of the next document.
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, fine, edited_fine). A fingerprint
-    holds the smallest phrase names of the same levels for every text, in hexadecimal; likeness is the share of common
-    ones. ``fine`` holds those of the first level for short texts and is null for others; it counts where both sides have it.
-
-    Documents are dealt into ranges of the id once; the first text of a range also goes to the end of the range before,
-    so a range needs no other. Only range bounds reach the driver, a few numbers per shuffle partition. Ids are
-    whole numbers. A null text is empty and has the empty fingerprint; a null id comes first. Equal ids stand in the
-    order of their texts and should be few, as one range holds them. A single document is its own next one; an empty
-    table gives no rows. Other columns are ignored.
+    holds the smallest phrase names of each level, the same levels for every text, in hexadecimal; the two likenesses
+    follow from it alone. ``fine`` repeats the first level for short texts and is null for others.
+
+    Documents are dealt once into ranges of (id, hash of the text) of about ``range_bytes``, an id that alone is more
+    into several; the first text of a range also goes to the end of the range before, so a range needs no other. Only
+    range bounds reach the driver, a few numbers per range. Ids are whole numbers. A null text is empty and has the empty
+    fingerprint; a null id comes first. Equal ids, missing ones too, stand in the order of hashes of their texts. Only
+    copies of one text under one id must share a range. A single document is its own next one; an empty table gives no
+    rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     smallest = -(2**63)
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("key"), F.col(id_col).isNull().alias("is_null"),
         whole_text(text_col).alias("text"),
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ).withColumn("tie", F.xxhash64("text"))
+    weight = rows.groupBy().agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // range_bytes))
     n = 4 * parts
     cuts = rows.select(F.col("key").cast("double")).approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n))
-    bounds = np.unique(np.array(cuts, float))
+    bounds, repeats = np.unique(np.array(cuts, float), return_counts=True)
+    #: an id of several ranges' weight is a range of its own, cut by hashes; beyond 2**53 doubles do not tell ids apart
+    alone = bounds[(repeats > 1) & ((np.abs(bounds) < 2.0**53) | (bounds == float(smallest)))]
+    bounds = np.union1d(bounds, np.nextafter(alone, np.inf))
+    splits = {int(k): int(r) for k, r in zip(np.unique(np.array(cuts, float)), repeats, strict=True) if k in set(alone.tolist())}
+    hot = np.array(sorted(splits), np.int64)
+    slices = np.array([splits[k] for k in hot.tolist()], np.int64)
+    most = int(slices.max(initial=1)) + 1
 
     @pandas_udf("long")
-    def bucket_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(float), "right"))
-
-    dealt = rows.withColumn("bucket", bucket_of("key"))
-    firsts = sorted((r[0], r[1]) for r in dealt.groupBy("bucket").agg(F.min("key")).collect())
-    #: the first key of a range ends the range before it, that of the first range ends the last
-    ends = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
-    keys = np.array(sorted(ends), np.int64)
-    before = np.array([ends[k] for k in keys.tolist()], np.int64)
+    def bucket_of(key: pd.Series, tie: pd.Series) -> pd.Series:
+        own = key.to_numpy(np.int64)
+        place = np.searchsorted(bounds, own.astype(float), "right") * most
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+            part = ((tie.to_numpy(np.int64) >> 32) + 2**31) * slices[at] >> 32
+            place = place + np.where(hot[at] == own, part, 0)
+        return pd.Series(place)
+
+    dealt = rows.withColumn("bucket", bucket_of("key", "tie"))
+    firsts = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("m")).select("bucket", "m.*").collect())
+    #: the first place of a range ends the range before it, that of the first range ends the last
+    ends = {(key, tie): firsts[i - 1][0] for i, (_, key, tie) in enumerate(firsts)}
+    goes = pd.Series(ends, dtype="int64") if ends else None
 
     @pandas_udf("long")
-    def tail_of(key: pd.Series) -> pd.Series:
-        if not len(keys):
+    def tail_of(key: pd.Series, tie: pd.Series) -> pd.Series:
+        if goes is None:
             return pd.Series(np.full(len(key), -1))
-        own = key.to_numpy(np.int64)
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        return pd.Series(np.where(keys[at] == own, before[at], -1))
+        at = goes.index.get_indexer(pd.MultiIndex.from_arrays([key, tie]))
+        return pd.Series(np.where(at >= 0, goes.to_numpy()[at], -1))
 
     tails = dealt.withColumn("goes", F.array(
         F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("tail")),
-        F.struct(tail_of("key").alias("bucket"), F.lit(True).alias("tail")),
-    )).select("key", "is_null", "text", F.explode(F.filter("goes", lambda g: g["bucket"] >= 0)).alias("g"))
-    placed = tails.select("g.bucket", "g.tail", "key", "is_null", "text").repartition(parts, "bucket")
-    out = placed.sortWithinPartitions("bucket", "tail", "key", "text").mapInArrow(_neighbours, _OUT)
+        F.struct(tail_of("key", "tie").alias("bucket"), F.lit(True).alias("tail")),
+    )).select("key", "is_null", "tie", "text", F.explode(F.filter("goes", lambda g: g["bucket"] >= 0)).alias("g"))
+    placed = tails.select("g.bucket", "g.tail", "key", "is_null", "tie", "text").repartition(parts, "bucket")
+    out = placed.sortWithinPartitions("bucket", "tail", "key", "tie", "text").drop("tie").mapInArrow(_neighbours, _OUT)
     return out.select(
         F.when(~F.col("is_null"), F.col("key")).alias(id_col), "n_chars", "edited_sha256", "fingerprint",
         "edited_fingerprint", "near_edited", "near_next", "fine", "edited_fine",

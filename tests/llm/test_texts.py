@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.llm import parsing, pseudonyms, quality
 from tabloom.llm.lines import without_repeated_chunks, without_repeated_runs
@@ -138,6 +140,83 @@ def test_near_copies_of_short_texts(spark):
     assert got[0]["fine"] and got[2]["fine"] is None
 
 
+def plain_levels(text, levels=3):
+    """The phrase names of a text, level by level, one symbol at a time."""
+    mask, step = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        return int(parsing.mixed(np.array([x & mask], np.uint64))[0])
+
+    names, out = list(text), []
+    for _ in range(levels if names else 0):
+        runs = [(a, len(list(same))) for a, same in itertools.groupby(names)]
+        symbols = [mix(a + n * step) for a, n in runs]
+        labels = list(symbols)
+        for turn in range(3):
+            # the first symbol has none before it and takes one that differs
+            before = [~labels[0] & mask if turn == 0 else labels[0] ^ 1, *labels[:-1]] if labels else []
+            low = [((a ^ b) & -(a ^ b)).bit_length() - 1 for a, b in zip(labels, before, strict=True)]
+            labels = [2 * k + (a >> k & 1) for a, k in zip(labels, low, strict=True)]
+        begins = [i for i, x in enumerate(labels) if i == 0 or (
+            x > labels[i - 1] and (i + 1 == len(labels) or x >= labels[i + 1])
+        )]
+        names = [
+            mix(sum(mix(symbols[j] + (j - a + 1) * step) for j in range(a, b)))
+            for a, b in zip(begins, [*begins[1:], len(symbols)], strict=True)
+        ]
+        out.append(names)
+    return out or [[]] * levels
+
+
+def plain_print(text):
+    return [sorted({x >> 32 for x in names})[: parsing.SKETCH] for names in plain_levels(text)]
+
+
+def plain_likeness(one, other):
+    common = total = 0
+    for a, b, weight in zip(one, other, (3, 8, 25), strict=True):
+        both = sorted({*a, *b})[: parsing.SKETCH]
+        total, common = total + weight * len(both), common + weight * len({*both} & {*a} & {*b})
+    return common / total if total else 1.0
+
+
+def test_fingerprints_and_likeness_by_a_plain_parse(spark):
+    draw = np.random.default_rng(21)
+    texts = ["", "a", "aaaaaaaaaaaa", "ab" * 40, "Ünïcödé ŧext 漢字"] + [
+        " ".join(f"{draw.choice(list('abcde'))}{x}" for x in draw.integers(0, 500, draw.integers(1, 120))) for _ in range(25)
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in parsing.fingerprinted(docs).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, text in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, changed, next_ = (plain_print(t.encode()) for t in (text, edited, after))
+        assert got[i]["fingerprint"] == (".".join("".join(f"{x:08x}" for x in names) for names in own) if text else "")
+        assert [x.tolist() for x in parsing.from_hex(got[i]["edited_fingerprint"])] == changed
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(own, changed))
+        assert got[i]["near_next"] == pytest.approx(plain_likeness(own, next_))
+        prints = [parsing.from_hex(got[j]["fingerprint"]) for j in (i, (i + 1) % len(texts))]
+        assert got[i]["near_next"] == parsing.likeness(*prints)
+
+
+def test_ids_of_a_third_of_all_rows_are_cut_into_ranges(spark):
+    rows = [(None, f"no id {i} " * 5) for i in range(300)] + [(7, f"seven {i} " * 5) for i in range(300)] + [
+        (i, f"own {i}") for i in range(100, 400)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = parsing.fingerprinted(docs, range_bytes=1_000)
+    sizes = out.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert max(r["count"] for r in sizes) < 150
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = collections.Counter()
+    for i, (doc_id, text) in enumerate(ordered):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + ordered[(i + 1) % len(ordered)][1][:half]
+        want[doc_id, hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in out.collect()) == want
+
 # --- line chunks ---------------------------------------------------------------------------------
 
 def chunks_brute(rows, divisor=4, min_lines=2):
