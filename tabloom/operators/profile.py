@@ -127,32 +127,92 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return best.select("column", F.col("best.level").alias("most_frequent"), (-F.col("best.n")).alias("n"))
 
 
+#: Bins of a column in one pass of the selection, and passes after which what is left is counted value by value.
+BINS = 4096
+_PASSES = 8
+
+
 def exact_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact, interpolated median of each numeric column.
+    """Exact, interpolated median of each numeric column; NaN is above all numbers, columns without values are left out.
 
-    Equal values are counted first, then placed by a distributed running total, so neither a hot value nor
-    a long column ends up in one task.
+    Selection by narrowing histograms: a pass counts the values of at most ``BINS`` equal bins between the bounds known so
+    far and keeps the least and greatest of each bin, which bound the next pass. It ends where the middle lies between
+    two bins or in one of a single value: two or three passes for most columns. No exchange and nothing on the driver is
+    larger than the bins of the columns, and a hot value is one count per task. Values so uneven that the passes do not
+    part them are counted one by one inside the bounds that are left.
     """
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), as_number(F.col(c)).alias("value")) for c in columns
+        F.struct(F.lit(c).alias("column"), as_number(F.col(c)).cast("double").alias("value")) for c in columns
     ])
-    counts = (
-        df.select(F.explode(cells).alias("cell")).select("cell.*")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count("*").alias("n"))
-    )
-    placed = running_total(counts, ["value"], "n", within=["column"])
-    sizes = placed.groupBy("column").agg(F.sum("n").alias("size"))
-    low = F.floor((F.col("size") - 1) / 2)
-    high = F.floor(F.col("size") / 2)
-    last = F.col("_before") + F.col("n") - 1
-    middle = (low <= last) & (F.col("_before") <= low) | (high <= last) & (F.col("_before") <= high)
-    return (
-        placed.join(F.broadcast(sizes), "column")
-        .filter(middle)
-        .groupBy("column")
-        .agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+    values = df.select(F.explode(cells).alias("cell")).select("cell.*").filter(F.col("value").isNotNull())
+    value, infinity = F.col("value"), float("inf")
+    finite = F.when(~F.isnan(value) & (F.abs(value) != infinity), value)
+    ranges = values.groupBy("column").agg(
+        F.count("*").alias("n"), F.count(finite).alias("finite"), F.count_if(value == -infinity).alias("below"),
+        F.count_if(F.isnan(value)).alias("nan"), F.min(finite).alias("low"), F.max(finite).alias("high"),
+    ).collect()
+    #: per column the two middle ranks, the values found for them, and (least, greatest, values before) still to be searched
+    ranks, found, open_ = {}, {}, {}
+    for r in ranges:
+        ranks[r["column"]] = ((r["n"] - 1) // 2, r["n"] // 2)
+        steps = [(r["below"], -infinity, -infinity), (r["finite"], r["low"], r["high"]),
+                 (r["n"] - r["below"] - r["finite"] - r["nan"], infinity, infinity), (r["nan"], float("nan"), float("nan"))]
+        _narrow(r["column"], steps, 0, ranks, found, open_)
+    for _ in range(_PASSES):
+        if not open_:
+            break
+        inside = _inside(values, open_)
+        part = F.try_divide(value / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2)
+        place = F.least(F.floor(F.coalesce(part, F.lit(0.0)) * BINS), F.lit(BINS - 1))
+        counted = inside.groupBy("column", place.alias("bin")).agg(
+            F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
+        ).collect()
+        steps = {}
+        for r in sorted(counted, key=lambda r: r["bin"]):
+            steps.setdefault(r["column"], []).append((r["n"], r["low"], r["high"]))
+        before = {c: n for c, (_, _, n) in open_.items()}
+        open_ = {}
+        for c, own in steps.items():
+            _narrow(c, own, before[c], ranks, found, open_)
+    if open_:
+        counts = _inside(values, open_).groupBy("column", "value", "before").agg(F.count("*").alias("n"))
+        placed = running_total(counts, ["value"], "n", within=["column"]).withColumn("first", F.col("before") + F.col("_before"))
+        wanted = df.sparkSession.createDataFrame([(c, rank) for c in open_ for rank in ranks[c]], "column string, rank long")
+        hit = (F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("first") + F.col("n"))
+        for r in placed.join(F.broadcast(wanted), "column").where(hit).select("column", "rank", "value").collect():
+            low, high = ranks[r["column"]]
+            pair = found.setdefault(r["column"], [None, None])
+            pair[0] = r["value"] if r["rank"] == low else pair[0]
+            pair[1] = r["value"] if r["rank"] == high else pair[1]
+    medians = [(c, pair[0] / 2 + pair[1] / 2 if abs(pair[0]) > 1e300 else (pair[0] + pair[1]) / 2) for c, pair in found.items()]
+    return df.sparkSession.createDataFrame(medians, "column string, median double")
+
+
+def _narrow(column: str, steps: list, before: int, ranks: dict, found: dict, open_: dict) -> None:
+    """Find the steps (count, least, greatest), in order, that hold the middle ranks of a column."""
+    low, high = ranks[column]
+    for n, least, greatest in steps:
+        last = before + n - 1
+        if n and before <= low <= last and high <= last:
+            if least == greatest or least != least:
+                found[column] = [least, least]
+            elif n == 2:
+                found[column] = [least if low == before else greatest, greatest if high == last else least]
+            else:
+                open_[column] = (least, greatest, before)
+        elif n and before <= low <= last:
+            found[column] = [greatest, None]
+        elif n and before <= high <= last:
+            found[column][1] = least
+        before += n
+
+
+def _inside(values: DataFrame, open_: dict) -> DataFrame:
+    """The values between the bounds of their columns; one row of bounds a column is broadcast."""
+    bounds = values.sparkSession.createDataFrame(
+        [(c, *b) for c, b in open_.items()], "column string, low double, high double, before long"
     )
+    return values.join(F.broadcast(bounds), "column").where(F.col("value").between(F.col("low"), F.col("high")))
 
 
 def scale_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:

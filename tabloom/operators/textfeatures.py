@@ -14,12 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import hint_count
 from tabloom.operators.cleaning import TextSpec, label_ids, label_order_ids, require_columns
-from tabloom.session import spread
+from tabloom.session import cut_lineage, spread
 
 # Fixed value: what counts as a word.
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -42,23 +42,60 @@ def document_terms(df: DataFrame, text_col: str, stop_words: Sequence[str] | Non
     return out.withColumn("terms", terms).drop("_text", "_words", "_kept", "_pairs")
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``(term, corpus_count, doc_count)`` in one pass; occurrences are summed before the shuffle."""
+def term_cells(docs: DataFrame) -> DataFrame:
+    """``(term, tf, df)``: a row for each occurrence and one for each document of a term."""
     once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
     each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-    return (
-        docs.select(F.explode(F.concat(each, once)).alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.tf").alias("corpus_count"), F.sum("t.df").alias("doc_count"))
-    )
+    return docs.select(F.explode(F.concat(each, once)).alias("t")).select("t.*")
+
+
+def summed_terms(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.sum("df").alias("doc_count"))
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """``(term, corpus_count, doc_count)`` of all terms in one pass; occurrences are summed before the shuffle."""
+    return summed_terms(term_cells(docs))
+
+
+#: Counters of the frequency sketch.
+COUNTERS = 1 << 18
+
+
+def _counter(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(COUNTERS))
+
+
+def term_sketch(docs: DataFrame) -> DataFrame:
+    """``(counter, n)``: occurrences of all terms that share a counter, so no term occurs more often than its counter
+    says. Counters add up over parts of a corpus; a task sends at most ``COUNTERS`` rows."""
+    return docs.select(F.explode(F.transform("terms", _counter)).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
 
 
 def vocabulary(docs: DataFrame, size: int = 200, min_df: int = 2) -> DataFrame:
-    """The ``size`` terms with the most occurrences among those in at least ``min_df`` documents; ties by term."""
-    return (
-        term_counts(docs).filter(F.col("doc_count") >= min_df)
-        .orderBy(F.desc("corpus_count"), "term").limit(size)
-    )
+    """The ``size`` terms with the most occurrences among those in at least ``min_df`` documents; ties by term.
+
+    Two passes. A sketch of counters bounds every term's occurrences from above; only terms whose counter reaches a
+    threshold are then counted, exactly. If the last term chosen reaches the threshold, no other term can belong here;
+    else the threshold is lowered, down to one, which counts all. So the result is exact, and what is shuffled is the
+    sketch and the few terms near the top, not the terms of the corpus. The sketch's bound makes it safe to broadcast.
+    """
+    sketch = term_sketch(docs).persist()
+    # some more counters than terms wanted, as rare terms share counters and terms of one document do not count
+    top = sketch.orderBy(F.desc("n")).limit(4 * size).agg(F.count("*").alias("held"), F.min("n").alias("n")).first()
+    threshold = top["n"] if top["held"] == 4 * size else 1
+    while True:
+        terms = term_cells(docs)
+        if threshold > 1:
+            heavy = sketch.where(F.col("n") >= threshold).select("counter")
+            terms = terms.join(F.broadcast(heavy), _counter(terms["term"]) == heavy["counter"], "left_semi")
+        counted = summed_terms(terms).filter(F.col("doc_count") >= min_df)
+        chosen = cut_lineage(counted.orderBy(F.desc("corpus_count"), "term").limit(size))
+        found = chosen.agg(F.count("*").alias("n"), F.min("corpus_count").alias("least")).first()
+        if threshold <= 1 or (found["n"] == size and (found["least"] or 0) >= threshold):
+            sketch.unpersist()
+            return chosen
+        threshold //= 8
 
 
 def smooth_idf(doc_count: int, n_docs: int) -> float:

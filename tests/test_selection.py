@@ -1,0 +1,84 @@
+"""Exact results from bounded sketches: the vocabulary and the median."""
+
+from __future__ import annotations
+
+import collections
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tabloom.operators import profile, textfeatures
+from tabloom.operators.profile import exact_median
+from tabloom.operators.textfeatures import term_counts, term_sketch, vocabulary
+
+
+def plain_vocabulary(docs, size, min_df):
+    total, within = collections.Counter(), collections.Counter()
+    for terms in docs:
+        total.update(terms)
+        within.update(set(terms))
+    kept = [(t, n, within[t]) for t, n in total.items() if within[t] >= min_df]
+    return sorted(kept, key=lambda r: (-r[1], r[0]))[:size]
+
+
+@pytest.mark.parametrize("counters", [16, 256, 1 << 18])
+@pytest.mark.parametrize("min_df", [1, 2, 30])
+def test_vocabulary_is_exact_at_any_size_of_the_sketch(spark, monkeypatch, counters, min_df):
+    monkeypatch.setattr(textfeatures, "COUNTERS", counters)
+    draw = np.random.default_rng(counters + min_df)
+    docs = [[f"t{x}" for x in draw.zipf(1.3, draw.integers(0, 60)) % 700] for _ in range(200)]
+    docs.append(["often, but here alone"] * 5_000)
+    frame = spark.createDataFrame([(d,) for d in docs], "terms array<string>").repartition(5)
+    for size in (1, 3, 20):
+        got = [tuple(r) for r in vocabulary(frame, size, min_df).collect()]
+        assert sorted(got, key=lambda r: (-r[1], r[0])) == plain_vocabulary(docs, size, min_df)
+
+
+def test_vocabulary_counts_few_terms_beside_the_chosen(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(textfeatures, "summed_terms", lambda cells: seen.append(cells) or plain_sums(cells))
+    plain_sums = lambda cells: cells.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.sum("df").alias("doc_count"))
+    rare = spark.range(20_000).select(F.array(F.concat(F.lit("r"), "id"), F.concat(F.lit("often"), F.col("id") % 50)).alias("terms"))
+    got = vocabulary(rare, 10, 2)
+    assert {r["corpus_count"] for r in got.collect()} == {400} and got.count() == 10
+    assert len(seen) == 1 and seen[0].select("term").distinct().count() < 100
+
+
+def test_a_sketch_bounds_every_term_and_adds_up(spark):
+    frame = spark.range(3_000).select(F.array(F.concat(F.lit("a"), F.col("id") % 211), F.lit("all")).alias("terms"))
+    whole = {r["counter"]: r["n"] for r in term_sketch(frame).collect()}
+    parts = collections.Counter()
+    for part in frame.randomSplit([1.0, 1.0], seed=3):
+        parts.update({r["counter"]: r["n"] for r in term_sketch(part).collect()})
+    assert parts == whole
+    placed = term_counts(frame).withColumn("counter", textfeatures._counter(F.col("term")))
+    assert all(r["corpus_count"] <= whole[r["counter"]] for r in placed.collect())
+
+
+def test_vocabulary_of_nothing(spark):
+    empty = spark.createDataFrame([([],), ([],)], "terms array<string>")
+    assert vocabulary(empty, 5, 1).count() == 0 and vocabulary(empty.where("false"), 5, 1).count() == 0
+
+
+@pytest.mark.parametrize("bins", [2, 64, 4096])
+def test_median_by_histograms(spark, monkeypatch, bins):
+    monkeypatch.setattr(profile, "BINS", bins)
+    draw = np.random.default_rng(bins)
+    columns = {
+        "even": draw.normal(size=1_000), "odd": draw.integers(-3, 4, 1_001).astype(float),
+        "uneven": 10.0 ** draw.uniform(-300, 300, 1_000), "hot": np.r_[np.zeros(700), draw.normal(size=301)],
+        "apart": np.r_[np.full(500, -1e308), np.full(500, 1e308)], "tiny": np.array([5e-324, 1e-323, 1.5e-323]),
+        "one": np.array([7.5]), "two": np.array([1.0, 2.0]),
+        "endless": np.r_[np.full(400, np.inf), draw.normal(size=600)], "below": np.r_[np.full(600, -np.inf), draw.normal(size=300)],
+    }
+    longest = max(map(len, columns.values()))
+    rows = [tuple(float(v[i]) if i < len(v) else None for v in columns.values()) + (None,) for i in range(longest)]
+    schema = ", ".join(f"{c} double" for c in [*columns, "none"])
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    got = {r["column"]: r["median"] for r in exact_median(df, df.columns).collect()}
+    assert set(got) == set(columns)
+    for c, values in columns.items():
+        ordered = sorted(values)
+        low, high = ordered[(len(values) - 1) // 2], ordered[len(values) // 2]
+        assert got[c] == pytest.approx(low / 2 + high / 2 if c == "apart" else (low + high) / 2, rel=1e-15), c
