@@ -29,6 +29,22 @@ def column_metadata(spark, sf):
     return pf.column_metadata(table(spark, sf, "orders"), ids=["o_orderkey"])
 
 
+def metadata_document(spark, sf):
+    """The metadata of the orders as one JSON document."""
+    return pf.metadata_document(column_metadata(spark, sf))
+
+
+def sketched_metadata(spark, sf):
+    """Kinds and gaps of the lineitems from sketches of two parts that are merged; estimates are left out."""
+    df = table(spark, sf, "lineitem")
+    early = F.col("l_orderkey") % 2 == 0
+    parts = pf.column_sketches(df.where(early)).unionByName(pf.column_sketches(df.where(~early)))
+    return pf.sketched_metadata(df, pf.merged_sketches(parts), ids=["l_orderkey"]).select(
+        "column", "dtype", "sdtype", "n_rows", "n_missing",
+        F.when(F.col("exact") & (F.col("sdtype") == "categorical"), F.col("n_distinct")).alias("n_levels"),
+    )
+
+
 def _metadata_sql() -> str:
     kinds = {
         "o_orderkey": ("bigint", "'id'"), "o_custkey": ("bigint", None), "o_orderstatus": ("string", "'categorical'"),
@@ -42,6 +58,29 @@ def _metadata_sql() -> str:
     )
 
 
+_DOCUMENT_SQL = f"""WITH m AS ({_metadata_sql()})
+SELECT '{{"columns":{{' || string_agg('"' || "column" || '":{{"dtype":"' || dtype || '","sdtype":"' || sdtype || '","n_distinct":' || n_distinct || '}}',
+  ',' ORDER BY "column") || '}}}}' AS document FROM m"""
+
+
+def _sketched_sql() -> str:
+    dtypes = {
+        "l_orderkey": ("bigint", "id"), "l_partkey": ("bigint", None), "l_suppkey": ("bigint", None), "l_linenumber": ("int", None),
+        **{c: ("double", "numerical") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")},
+        "l_returnflag": ("string", "categorical"), "l_linestatus": ("string", "categorical"), "l_shipdate": ("timestamp_ntz", "datetime"),
+    }
+    rows = []
+    for c, (dtype, kind) in dtypes.items():
+        few = f"count(DISTINCT {c}) <= 20"
+        sdtype = f"'{kind}'" if kind else f"CASE WHEN {few} THEN 'categorical' ELSE 'numerical' END"
+        levels = "CAST(NULL AS BIGINT)" if kind else f"CASE WHEN {few} THEN count(DISTINCT {c}) END"
+        rows.append(
+            f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, {sdtype} AS sdtype, count(*) AS n_rows, count(*) - count({c}) AS n_missing, "
+            f"{levels} AS n_levels FROM lineitem"
+        )
+    return " UNION ALL ".join(rows)
+
+
 def _profile_sql() -> str:
     tables = {
         "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"},
@@ -200,6 +239,8 @@ _REPORT_DOUBLES = [*_NUMERIC_OUT, "total_variation_distance", "real_prob", "synt
 QUERIES = {
     "profile_columns": (profile_columns, _profile_sql()),
     "column_metadata": (column_metadata, _metadata_sql()),
+    "metadata_document": (metadata_document, _DOCUMENT_SQL),
+    "sketched_metadata": (sketched_metadata, _sketched_sql()),
     "value_distribution": (
         value_distribution,
         "SELECT o_orderpriority, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM orders GROUP BY 1",

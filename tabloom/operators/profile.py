@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,30 +72,101 @@ def profile_columns(df: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, dtype string, n_levels bigint, sdtype string")
 
 
+def _kind(f: T.StructField, ids: Sequence[str]) -> str:
+    """What the storage type of a column says about it; ``integer`` still depends on the number of its values."""
+    if f.name in ids:
+        return "id"
+    if isinstance(f.dataType, T.BooleanType):
+        return "boolean"
+    if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return "datetime"
+    return "integer" if is_integer(f.dataType) else "numerical" if is_numeric(f.dataType) else "categorical"
+
+
+def _named(name: str) -> Column:
+    """A column by its whole name, points and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _sdtype(kind: Column, n: Column, max_levels: int) -> Column:
+    return F.when(kind != "integer", kind).when(n <= max_levels, "categorical").otherwise("numerical")
+
+
 def column_metadata(df: DataFrame, ids: Sequence[str] = (), max_levels: int = MAX_LEVELS) -> DataFrame:
     """One row per column: storage type, kind and exact number of distinct non-null values.
 
     Kinds: ``id`` for the named columns, ``boolean``, ``datetime``, ``categorical`` for text and for integers of at most
-    ``max_levels`` values, ``numerical`` for all other numbers. Values are combined within tasks before one shuffle.
+    ``max_levels`` values, ``numerical`` for all other numbers. Values are combined within tasks before one shuffle; where
+    the exact numbers are not needed, ``sketched_metadata`` spares that.
     """
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value")) for f in df.schema])
     counts = df.select(F.explode(cells).alias("cell")).select("cell.*").where("value IS NOT NULL").distinct().groupBy("column").count()
+    known = df.sparkSession.createDataFrame(
+        [(f.name, f.dataType.simpleString(), _kind(f, ids)) for f in df.schema], "column string, dtype string, kind string"
+    )
+    n = F.coalesce("count", F.lit(0))
+    return known.join(counts, "column", "left").select(
+        "column", "dtype", _sdtype(F.col("kind"), n, max_levels).alias("sdtype"), n.alias("n_distinct")
+    )
+
+
+def column_sketches(df: DataFrame) -> DataFrame:
+    """``(column, dtype, n_rows, n_missing, sketch)``: one row per column, from one aggregate without a shuffle of values.
+
+    ``sketch`` is a distinct-count sketch of a few kilobytes. Store it beside a part of a table; ``merged_sketches``
+    adds parts up, so an append reads the new rows only.
+    """
+    cells = [
+        F.struct(
+            F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.count("*").alias("n_rows"),
+            F.count_if(_named(f.name).isNull()).alias("n_missing"),
+            F.hll_sketch_agg(_named(f.name).cast("string")).alias("sketch"),
+        ) for f in df.schema
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("cell")).select("cell.*")
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """The sketches of a table from those of its parts."""
+    return sketches.groupBy("column", "dtype").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_missing").alias("n_missing"), F.hll_union_agg("sketch").alias("sketch")
+    ).select("column", "dtype", "n_rows", "n_missing", "sketch")
 
-    def kind(f: T.StructField) -> str:
-        if f.name in ids:
-            return "id"
-        if isinstance(f.dataType, T.BooleanType):
-            return "boolean"
-        if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return "datetime"
-        return "integer" if is_integer(f.dataType) else "numerical" if is_numeric(f.dataType) else "categorical"
 
+def sketched_metadata(
+    df: DataFrame, sketches: DataFrame | None = None, ids: Sequence[str] = (), max_levels: int = MAX_LEVELS
+) -> DataFrame:
+    """As ``column_metadata`` with the kinds exact and the distinct counts estimated: (column, dtype, sdtype, n_rows,
+    n_missing, n_distinct, exact).
+
+    Only integer columns whose estimate is at most ten times ``max_levels``, far beyond the error of the sketch, are counted
+    exactly (``exact``), since their kind depends on the count. ``sketches`` are stored ones of ``df``.
+    """
+    sketches = column_sketches(df) if sketches is None else sketches
+    rows = sketches.select(
+        "column", "n_rows", "n_missing", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).alias("n")
+    ).collect()
+    about = {r["column"]: r for r in rows}
+    near = [f.name for f in df.schema if _kind(f, ids) == "integer" and about[f.name]["n"] <= 10 * max_levels]
+    counted = df.agg(*[F.count_distinct(_named(c)).alias(c) for c in near]).first() if near else {}
     known = df.sparkSession.createDataFrame(
-        [(f.name, f.dataType.simpleString(), kind(f)) for f in df.schema], "column string, dtype string, kind string"
+        [
+            (f.name, f.dataType.simpleString(), _kind(f, ids), about[f.name]["n_rows"], about[f.name]["n_missing"],
+             counted[f.name] if f.name in near else about[f.name]["n"], f.name in near)
+            for f in df.schema
+        ],
+        "column string, dtype string, kind string, n_rows long, n_missing long, n_distinct long, exact boolean",
     )
-    n = F.coalesce("count", F.lit(0))
-    sdtype = F.when(F.col("kind") != "integer", F.col("kind")).when(n <= max_levels, "categorical").otherwise("numerical")
-    return known.join(counts, "column", "left").select("column", "dtype", sdtype.alias("sdtype"), n.alias("n_distinct"))
+    sdtype = _sdtype(F.col("kind"), F.col("n_distinct"), max_levels)
+    return known.select("column", "dtype", sdtype.alias("sdtype"), "n_rows", "n_missing", "n_distinct", "exact")
+
+
+def metadata_document(metadata: DataFrame) -> DataFrame:
+    """One row ``document``: metadata of a table as JSON, an object ``columns`` with one entry per column by name."""
+    facts = [c for c in metadata.columns if c != "column"]
+    entry = F.struct(F.col("column"), F.struct(*[F.col(c) for c in facts]).alias("facts"))
+    columns = F.map_from_entries(F.array_sort(F.collect_list(entry)))
+    return metadata.agg(F.to_json(F.struct(columns.alias("columns"))).alias("document"))
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:

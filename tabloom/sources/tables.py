@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabloom.operators.profile import metadata_document
 from tabloom.operators.ranking import dense_index
 
 
@@ -41,6 +43,22 @@ def read_artifact(spark: SparkSession, path: str, dataset: str, method: str, see
     return spark.read.parquet(path).filter(chosen).drop("dataset", "method", "seed")
 
 
+def write_metadata(metadata: DataFrame, path: str) -> None:
+    """Metadata of a table as a JSON document in the folder ``path``, which is replaced."""
+    metadata_document(metadata).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str, facts: str = "dtype string, sdtype string, n_distinct long") -> DataFrame:
+    """Rows of a document of ``write_metadata``; ``facts`` names what is known of a column beside its name."""
+    text = spark.read.text(path, wholetext=True)
+    nested = text.select(F.from_json("value", f"columns map<string, struct<{_nested(facts)}>>").alias("d"))
+    return nested.select(F.explode("d.columns").alias("column", "facts")).select("column", "facts.*")
+
+
+def _nested(facts: str) -> str:
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(facts))
+
+
 #: Rule sets ``{target: labels}``; the strict one allows a single label for the positive target.
 DEFAULT_RULES = {0: ("neutral", "negative"), 1: ("positive", "neutral")}
 STRICT_RULES = {0: ("neutral", "negative"), 1: ("positive",)}
