@@ -69,11 +69,33 @@ def _counter(term: Column) -> Column:
 def term_sketch(docs: DataFrame) -> DataFrame:
     """``(counter, n)``: occurrences of all terms that share a counter, so no term occurs more often than its counter
     says. Counters add up over parts of a corpus; a task sends at most ``COUNTERS`` rows."""
-    return docs.select(F.explode(F.transform("terms", _counter)).alias("counter")).groupBy("counter").agg(F.count("*").alias("n"))
+    # a plain explode would let Spark ask for non-empty arrays before texts are spread, and split them twice
+    each = docs.select(F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+    return each.groupBy(_counter(F.col("term")).alias("counter")).agg(F.count("*").alias("n"))
+
+
+#: Counters up to which terms are sorted out within each document, before any of them becomes a row.
+MAX_INLINE = 20_000
+
+
+def heavy_terms(docs: DataFrame, sketch: DataFrame, threshold: int) -> DataFrame:
+    """``docs`` with only those terms whose counter reaches ``threshold``; all documents stay."""
+    heavy = sketch.where(F.col("n") >= threshold).select("counter")
+    counters = [r["counter"] for r in heavy.limit(MAX_INLINE + 1).collect()]
+    if len(counters) > MAX_INLINE:
+        return docs
+    return docs.withColumn("terms", F.filter("terms", lambda t: _counter(t).isin(counters)))
 
 
 def vocabulary(docs: DataFrame, size: int = 200, min_df: int = 2) -> DataFrame:
-    """The ``size`` terms with the most occurrences among those in at least ``min_df`` documents; ties by term.
+    """The terms of ``chosen_terms``."""
+    return chosen_terms(docs, size, min_df)[0]
+
+
+def chosen_terms(docs: DataFrame, size: int, min_df: int, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary, and ``docs`` with the terms that could be in it; with ``store`` these are written out once.
+
+    The ``size`` terms with the most occurrences among those in at least ``min_df`` documents; ties by term.
 
     Two passes. A sketch of counters bounds every term's occurrences from above; only terms whose counter reaches a
     threshold are then counted, exactly. If the last term chosen reaches the threshold, no other term can belong here;
@@ -85,8 +107,11 @@ def vocabulary(docs: DataFrame, size: int = 200, min_df: int = 2) -> DataFrame:
     top = sketch.orderBy(F.desc("n")).limit(4 * size).agg(F.count("*").alias("held"), F.min("n").alias("n")).first()
     threshold = top["n"] if top["held"] == 4 * size else 1
     while True:
-        terms = term_cells(docs)
-        if threshold > 1:
+        kept = heavy_terms(docs, sketch, threshold) if threshold > 1 else docs
+        if store and kept is not docs:
+            kept = cut_lineage(kept)
+        terms = term_cells(kept)
+        if threshold > 1 and kept is docs:
             heavy = sketch.where(F.col("n") >= threshold).select("counter")
             terms = terms.join(F.broadcast(heavy), _counter(terms["term"]) == heavy["counter"], "left_semi")
         counted = summed_terms(terms).filter(F.col("doc_count") >= min_df)
@@ -94,7 +119,7 @@ def vocabulary(docs: DataFrame, size: int = 200, min_df: int = 2) -> DataFrame:
         found = chosen.agg(F.count("*").alias("n"), F.min("corpus_count").alias("least")).first()
         if threshold <= 1 or (found["n"] == size and (found["least"] or 0) >= threshold):
             sketch.unpersist()
-            return chosen
+            return chosen, kept
         threshold //= 8
 
 
@@ -117,11 +142,14 @@ def tfidf(
     stop_words: Sequence[str] | None = None, bigrams: bool = True,
 ) -> tuple[DataFrame, list[str]]:
     """``(key, tfidf)`` vectors of every document and the vocabulary in term order."""
-    docs = document_terms(df.select(key, text_col), text_col, stop_words, bigrams)
-    vocab = sorted((r["term"], r["doc_count"]) for r in vocabulary(docs, max_features, min_df).collect())
+    docs = document_terms(df.select(key, text_col), text_col, stop_words, bigrams).select(key, "terms")
+    chosen, kept = chosen_terms(docs, max_features, min_df, store=True)
+    vocab = sorted((r["term"], r["doc_count"]) for r in chosen.collect())
     if not vocab:
         raise ValueError("Empty vocabulary: every term was filtered out.")
-    return tfidf_vectors(docs, vocab, df.count()).select(key, "tfidf"), [t for t, _ in vocab]
+    # the stored documents hold every term of the vocabulary, so texts are not split again
+    n_docs = df.count() if kept is docs else kept.count()
+    return tfidf_vectors(kept, vocab, n_docs).select(key, "tfidf"), [t for t, _ in vocab]
 
 
 def tfidf_weights(vectors: DataFrame, terms: Sequence[str], key: str) -> DataFrame:
