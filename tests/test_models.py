@@ -323,6 +323,20 @@ def test_sweep_summary_and_artifacts(spark, real, tmp_path):
     assert sweep.best_method(sweep.summarize_seeds(results)).first()["method"] == "gaussian_copula"
 
 
+def test_the_generators_of_a_sweep_fit_on_every_row(spark, monkeypatch):
+    """The rows of the fits of a sweep are not bounded, unless the caller asks for it."""
+    seen, fits = {}, importlib.import_module("tabloom.operators.synthesis.sequential")
+    few = TreeSettings("rf", trees=1, depth=2), TreeSettings("gbt", rounds=1, depth=2)
+    for name in ("_forests", "_boosters"):
+        own = getattr(fits, name)
+        monkeypatch.setattr(fits, name, lambda p, every, labelled, *a, n=name, f=own: seen.update({n: labelled.count()}) or f(p, every, labelled, *a))
+    table = spark.range(9_000).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("target"))
+    for bounds, rows in ({}, 9_000), ({"forest_rows": 600, "boosting_rows": 600}, 600):
+        for method in ("random_forest", "xgboost"):
+            assert sweep.generators(*few, **bounds)[method](sweep.Dataset(table, ["id"]), 20, 1).count() == 20
+        assert seen == {"_forests": rows, "_boosters": rows}
+
+
 def test_ablation_and_tuning(spark, real):
     dataset = sweep.Dataset(real.select("id", "x", "group", "target"), ["id"])
     settings = [sweep.Setting("a", 300, 1, 1, 2), sweep.Setting("b", None, 2, 2, 2)]
